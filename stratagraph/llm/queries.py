@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
-from . import leak, mix as mixing
+from . import leak, mix as mixing, subjects as topics
 from .syntax import operator as syntax
 
 
@@ -49,10 +49,23 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return topics.subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    return topics.composition(table(spark, d, "documents"), _subjects(spark, d))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_rates": p1_rates, "p1_errors": p1_errors,
     "p6_found": p6_found, "p6_spans": p6_spans, "p6_benchmarks": p6_benchmarks,
     "p7_chosen": p7_chosen, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_composition": p8_composition,
 }
 
 _RUNS = """
