@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
-from . import leak, mix as mixing, subjects as topics
+from . import leak, mix as mixing, pieces, subjects as topics
 from .syntax import operator as syntax
 
 
@@ -21,6 +21,18 @@ def p1_errors(spark: SparkSession, d: str) -> DataFrame:
     return syntax.check_files(table(spark, d, "source_files")).where("error_line is not null")
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.split_oversized(table(spark, d, "source_chunks"), table(spark, d, "chunk_limits"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).select("chunk_id").distinct()
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d)
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -63,6 +75,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_rates": p1_rates, "p1_errors": p1_errors,
+    "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p6_found": p6_found, "p6_spans": p6_spans, "p6_benchmarks": p6_benchmarks,
     "p7_chosen": p7_chosen, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_composition": p8_composition,
@@ -76,6 +89,8 @@ ik AS (SELECT DISTINCT item_id, array_to_string(l[i:i + 11], ' ') AS k FROM (SEL
 hits AS (SELECT DISTINCT doc_id, item_id FROM dk JOIN ik USING (k))
 """
 SQL: dict[str, str] = {
+    "p2_found": """SELECT DISTINCT chunk_id FROM source_chunks c JOIN chunk_limits l ON coalesce(c.chunk_type, 'fixed_window') = l.chunk_type
+WHERE length(content) > max_chars""",
     "p6_found": f"{_RUNS} SELECT doc_id, item_id FROM hits",
     "p6_benchmarks": f"""{_RUNS} SELECT benchmark, count(DISTINCT e.item_id) AS items, count(DISTINCT h.item_id) AS leaked_items, count(DISTINCT h.doc_id) AS documents
 FROM eval_items e LEFT JOIN hits h USING (item_id) GROUP BY benchmark""",
