@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
-from . import leak, mix as mixing, pieces, subjects as topics
+from . import docpairs, leak, mix as mixing, pieces, subjects as topics
 from .syntax import operator as syntax
 
 
@@ -33,6 +33,18 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.pairs(table(spark, d, "entities"), table(spark, d, "source_files"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("entity_id").distinct()
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d)
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -76,6 +88,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_rates": p1_rates, "p1_errors": p1_errors,
     "p2_found": p2_found, "p2_pieces": p2_pieces,
+    "p3_found": p3_found, "p3_pairs": p3_pairs,
     "p6_found": p6_found, "p6_spans": p6_spans, "p6_benchmarks": p6_benchmarks,
     "p7_chosen": p7_chosen, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_composition": p8_composition,
