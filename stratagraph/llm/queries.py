@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
 from . import docpairs, leak, mix as mixing, pieces, subjects as topics
+from .markup import operator as markup
 from .syntax import operator as syntax
 
 
@@ -45,6 +46,18 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d)
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return markup.texts_of(table(spark, d, "source_chunks"), table(spark, d, "entities"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_texts(_texts(spark, d), render=False).select("tab", "row_id").distinct()
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_texts(_texts(spark, d))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -89,6 +102,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_rates": p1_rates, "p1_errors": p1_errors,
     "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p3_found": p3_found, "p3_pairs": p3_pairs,
+    "p5_found": p5_found, "p5_clean": p5_clean,
     "p6_found": p6_found, "p6_spans": p6_spans, "p6_benchmarks": p6_benchmarks,
     "p7_chosen": p7_chosen, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_composition": p8_composition,
