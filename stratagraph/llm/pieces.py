@@ -128,25 +128,26 @@ def choose(pos: np.ndarray, score: np.ndarray, start: int, first: int, room: int
         cuts.append(at)
 
 
-def _cuts(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """The cuts of one segment: from its opening cut to that of the next segment, or the end of the item."""
-    group = group.sort_values("pos")
-    chunk, segment = int(key[0]), int(key[1])
-    limit, overlap, total = int(group.max_chars.iat[0]), int(group.overlap_chars.iat[0]), int(group.total.iat[0])
-    opening = group[group.opens == 1].pos
-    start = int(opening.max()) if len(opening) else 0
-    own = group[(group.opens == 0) & (group.pos > start)]
-    pos, score = own.pos.to_numpy(), own.score.to_numpy()
-    closing = own[own.closes == 1].pos
-    stop = int(closing.max()) if len(closing) else total
-    keep = pos < stop
-    pos, score = np.append(pos[keep], stop), np.append(score[keep], 9)
+def _segment(cells, limit: int, overlap: int, total: int, segment: int) -> list[tuple[int, int]]:
+    """The pieces of one segment: from its opening cut to that of the next segment, or the end of the item."""
+    start = max((c["pos"] for c in cells if c["opens"]), default=0)
+    stop = max((c["pos"] for c in cells if c["closes"]), default=total)
+    own = sorted((c["pos"], c["score"]) for c in cells if not c["opens"] and start < c["pos"] < stop)
+    pos, score = np.array([p for p, _ in own] + [stop]), np.array([s for _, s in own] + [9])
     room = limit - overlap
-    cuts = choose(pos, score, start, limit if segment == 0 and start == 0 else room, room, overlap)
+    cuts = choose(pos, score, start, limit if segment == 0 else room, room, overlap)
     edges = [start, *[c for c in cuts if c < stop], stop]
     if stop < total and len(edges) > 2 and stop - edges[-2] < overlap:  # the next segment repeats the end of this piece
         edges[-2] = stop - overlap
-    return pd.DataFrame({"chunk_id": chunk, "start": edges[:-1], "stop": edges[1:]}).astype("int64")
+    return list(zip(edges, edges[1:]))
+
+
+def _cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for chunk, segment, limit, overlap, total, cells in zip(batch.chunk_id, batch.segment, batch.max_chars, batch.overlap_chars, batch.total, batch.cells):
+            out += [(chunk, a, z) for a, z in _segment(cells, limit, overlap, total, segment) if z > a]
+        yield pd.DataFrame(out, columns=["chunk_id", "start", "stop"]).astype("int64")
 
 
 def split_oversized(chunks: DataFrame, limits: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -167,7 +168,8 @@ def split_oversized(chunks: DataFrame, limits: DataFrame, range_bytes: int = RAN
     own = F.floor(F.col("cell") / SEGMENT_CELLS)
     rows = F.array(F.struct(own.alias("segment"), F.lit(0).alias("opens"), last.cast("int").alias("closes")), F.when(last, F.struct((own + 1).alias("segment"), F.lit(1).alias("opens"), F.lit(0).alias("closes"))))
     rows = best.select("*", F.explode(rows).alias("e")).where("e is not null").select("chunk_id", "e.segment", "pos", "score", "max_chars", "overlap_chars", "total", "e.opens", "e.closes")
-    cuts = rows.groupBy("chunk_id", "segment").applyInPandas(_cuts, _CUTS).where("stop > start")  # at most SEGMENT_CELLS + 1 rows each
+    cells = F.collect_list(F.struct("pos", "score", "opens", "closes")).alias("cells")  # at most SEGMENT_CELLS + 1
+    cuts = rows.groupBy("chunk_id", "segment", "max_chars", "overlap_chars", "total").agg(cells).mapInPandas(_cuts, _CUTS)
     number = F.row_number().over(Window.partitionBy("chunk_id").orderBy("start"))  # numbers only
     cuts = cuts.withColumn("piece_no", number - 1).join(facts.select("chunk_id", "overlap_chars"), "chunk_id")
     pieces = cuts.select("chunk_id", "piece_no", F.greatest(F.col("start") - F.when(F.col("piece_no") > 0, F.col("overlap_chars")).otherwise(0), F.lit(0)).alias("a"), F.col("stop").alias("z"))
