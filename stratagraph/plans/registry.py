@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import p4
+from . import p4, q_graph, q_tables
 
-MODULES = [p4]
+MODULES = [p4, q_graph, q_tables]
 
 
 def queries() -> dict:
