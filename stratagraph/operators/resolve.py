@@ -45,7 +45,8 @@ def _edge(subject, predicate, obj, confidence, source_file, line, rationale, rol
 
 
 def file_of(uid: Column) -> Column:
-    return F.split(uid, "\\|")[1]
+    """The file in a uid; null where it has none."""
+    return F.get(F.split(uid, "\\|"), F.lit(1))
 
 
 def resolve_calls(pending: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:

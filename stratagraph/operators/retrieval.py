@@ -36,7 +36,8 @@ def bm25(df: DataFrame, key: str, column: str, query: str, k: int, k1: float = 1
     """The k best texts for a query. Only the query's terms are exploded; the corpus gives two numbers."""
     terms = sorted(set(re.findall(WORD, query.lower())))
     words = F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0))
-    rows = df.select(key, words.alias("w")).where(F.size("w") > 0).select(key, F.size("w").alias("size"), *(F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"t{i}") for i, t in enumerate(terms)))
+    times = lambda t: F.size(F.filter("w", lambda x: x == F.lit(t)))
+    rows = df.select(key, words.alias("w")).where(F.size("w") > 0).select(key, F.size("w").alias("size"), *(times(t).alias(f"t{i}") for i, t in enumerate(terms)))
     stats = rows.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
     for i in range(len(terms)):

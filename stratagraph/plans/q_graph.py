@@ -114,11 +114,11 @@ def d2_unwound_labels(s, d):
 
 
 def r1_converging(s, d):
-    """Nodes of one binding and the options' files that meet at it: (node)-[:COMPATIBLE_WITH]->(binding)<-[:DECLARES]-(file)."""
+    """(file)-[:SETS]->(option)<-[:DEPENDS_ON]-(dependent): both sides are summed up per option before they meet."""
     g = graph(s, d)
-    a = g.edge("COMPATIBLE_WITH").select(F.col("start").alias("node"), F.col("end").alias("binding"))
-    b = g.edge("DECLARES").where("end like 'DTBinding|%'").select(F.col("start").alias("file"), F.col("end").alias("binding"))
-    return a.join(b, "binding").groupBy("binding", "file").agg(F.count("*").alias("nodes"))
+    a = g.edge("SETS").groupBy(F.col("end").alias("option")).agg(F.count("*").alias("files"))
+    b = g.edge("DEPENDS_ON").groupBy(F.col("end").alias("option")).agg(F.count("*").alias("dependents"))
+    return a.join(b, "option")
 
 
 def r2_two_hops(s, d):
@@ -132,13 +132,13 @@ def r2_two_hops(s, d):
 
 def g03_callers(s, d):
     g = graph(s, d)
-    return g.callers(g.node("Function").where(F.col("name").contains("flush_b")))
+    return g.callers(g.node("Function").where(F.col("name").contains("flush")))
 
 
 def g06_subtree(s, d):
-    """Everything below the folders of one repository, with the least depth."""
+    """Everything below the folders of the second level, with the least depth."""
     g = graph(s, d)
-    return g.reachable(["CONTAINS"], g.node("Folder").where("file = 'kestrel-rtos'"), 8)
+    return g.reachable(["CONTAINS"], g.node("Folder").where(F.col("file").rlike("^[^/]+/[^/]+$")), 8)
 
 
 def a01_best_entities(s, d):
@@ -322,11 +322,11 @@ SQL = {
     "t7_call_cycles": _walk("CALLS", 2, 2, "true", "s = o"),
     "d1_node_to_binding": f"{WITH} " + _PAIR.format(cols="a.name AS node, b.name AS binding", a="DTNode", b="DTBinding", t="COMPATIBLE_WITH") + " AND starts_with(a.name, 'uart')",
     "d2_unwound_labels": f"{WITH} SELECT label, count(*) AS count FROM nodes GROUP BY 1",
-    "r1_converging": f"{WITH} SELECT a.o AS binding, b.s AS file, count(*) AS nodes FROM edges a JOIN edges b ON a.o = b.o WHERE a.type = 'COMPATIBLE_WITH' AND b.type = 'DECLARES' AND b.o LIKE 'DTBinding|%' GROUP BY 1, 2",
+    "r1_converging": f"{WITH} SELECT a.o AS option, files, dependents FROM (SELECT o, count(*) AS files FROM edges WHERE type = 'SETS' GROUP BY 1) a JOIN (SELECT o, count(*) AS dependents FROM edges WHERE type = 'DEPENDS_ON' GROUP BY 1) b USING (o)",
     "r2_two_hops": f"{WITH} SELECT DISTINCT n.uid AS document, a.o AS mid, b.o AS callee FROM nodes n JOIN edges a ON a.s = n.uid AND a.type = 'REFERENCES' JOIN edges b ON b.s = a.o AND b.type = 'CALLS' WHERE n.label = 'Document' AND contains(lower(n.name), 'e')",
-    "g03_callers": f"{WITH} SELECT DISTINCT e.s AS caller, e.o AS callee FROM edges e JOIN nodes n ON n.uid = e.o WHERE e.type = 'CALLS' AND n.label = 'Function' AND contains(n.name, 'flush_b')",
+    "g03_callers": f"{WITH} SELECT DISTINCT e.s AS caller, e.o AS callee FROM edges e JOIN nodes n ON n.uid = e.o WHERE e.type = 'CALLS' AND n.label = 'Function' AND contains(n.name, 'flush')",
     "g06_subtree": f"""{WITH}, e AS (SELECT DISTINCT s, o FROM edges WHERE type = 'CONTAINS'), r(uid, depth) AS (
-  SELECT uid, 0 FROM nodes WHERE label = 'Folder' AND file = 'kestrel-rtos' UNION SELECT e.o, r.depth + 1 FROM r JOIN e ON r.uid = e.s WHERE r.depth < 8)
+  SELECT uid, 0 FROM nodes WHERE label = 'Folder' AND regexp_matches(file, '^[^/]+/[^/]+$') UNION SELECT e.o, r.depth + 1 FROM r JOIN e ON r.uid = e.s WHERE r.depth < 8)
 SELECT uid, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1""",
     "a01_best_entities": f"{WITH} SELECT uid, kind, entity_id FROM (SELECT DISTINCT ON (entity_id) * FROM ents WHERE uid IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY entity_type, lower(name), CASE WHEN entity_type IN ('KconfigOption', 'DTBinding') THEN '' ELSE source_file END ORDER BY {_PRIO} DESC, entity_id) = 1",
     "a02_last_relations": f"{WITH} SELECT relation_id, subject, predicate, object, source_file FROM rels QUALIFY row_number() OVER (PARTITION BY subject, predicate, object, source_file ORDER BY ingested_at DESC, relation_id DESC) = 1",

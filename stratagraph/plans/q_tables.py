@@ -55,7 +55,7 @@ def s08_line_count(s, d):
 
 
 def s11_prefix(s, d):
-    return inventory.in_scope(_files(s, d), "kestrel-rtos/").select("source_file", "size_bytes")
+    return inventory.in_scope(_files(s, d), "mesh-lab/").select("source_file", "size_bytes")
 
 
 def s12_whitelist(s, d):
@@ -100,7 +100,7 @@ def u10_requirements(s, d):
     """Sentences with a modal verb, of at least twelve characters; names are their first 180."""
     f = _files(s, d).where("content is not null").where(F.lower("source_file").rlike(r"\.(md|rst)$"))
     found = F.explode(F.regexp_extract_all("content", F.lit(r"(?i)[^.!?\n]*\b(?:shall|must|should|required to)\b[^.!?\n]*[.!?]"), F.lit(0)))
-    rows = f.select("source_file", F.trim(found).alias("text")).where(F.length("text") >= 12)
+    rows = f.select("source_file", found.alias("text")).select("source_file", F.trim("text").alias("text")).where(F.length("text") >= 12)
     return rows.select("source_file", F.substring("text", 1, 180).alias("name")).distinct()
 
 
@@ -245,13 +245,13 @@ def so_sets(s, d):
 
 
 def j18_mentions(s, d):
-    n = entities(s, d).where("entity_type in ('KconfigOption', 'Class')").select("name")
+    n = entities(s, d).where("entity_type in ('Function', 'Class')").select("name")
     return legacy.mentions(_files(s, d).where("content is not null and source_file like '%.rst'"), n)
 
 
 def j19_requirement_mentions(s, d):
     e = entities(s, d)
-    r = e.where("entity_type = 'Requirement' and description is not null").select("uid", "description").distinct()
+    r = e.where("entity_type = 'Requirement'").select("uid", F.coalesce("description", "name").alias("description")).distinct()
     return legacy.requirement_mentions(r, e.where("entity_type = 'Function'").select(F.explode(F.split("name", "_")).alias("name")).where("length(name) > 3"))
 
 
@@ -368,7 +368,7 @@ SQL = {
 WHEN lang IN ('rst', 'markdown') THEN 'doc' WHEN lower({_SUFFIX}) IN ('.yaml', '.yml', '.json', '.toml', '.ini', '.cfg') THEN 'config' ELSE 'other' END AS bucket, count(*) AS files FROM l GROUP BY 1""",
     "s07_sha256": f"{_F} SELECT source_file, sha256(content) AS sha256 FROM f WHERE content IS NOT NULL",
     "s08_line_count": f"{_F} SELECT source_file, {_LINES} AS line_count FROM f",
-    "s11_prefix": f"{_F} SELECT source_file, size_bytes FROM f WHERE starts_with(source_file, 'kestrel-rtos/')",
+    "s11_prefix": f"{_F} SELECT source_file, size_bytes FROM f WHERE starts_with(source_file, 'mesh-lab/')",
     "s12_whitelist": f"{_F} SELECT source_file FROM f WHERE lower({_SUFFIX}) IN ({_V(repr(x) for x in (*inventory.OLD_CODE, *inventory.OLD_DOCS, *inventory.OLD_CONFIG))}) OR starts_with(upper({_NAME}), 'KCONFIG') OR upper({_NAME}) = 'CMAKELISTS.TXT'",
     "k01_chunks": f"{_F}, {_CHUNKS} SELECT uid, source_file, line_start, line_end, CAST(length(content) AS INTEGER) AS chars FROM chunks",
     "k04_line_to_chunk": f"{WITH}, f AS (SELECT DISTINCT ON (source_file) * FROM source_files), {_CHUNKS}, e AS (SELECT DISTINCT entity_id, source_file, line_start FROM ents WHERE entity_type = 'Function') SELECT entity_id, c.uid AS source_chunk_uid FROM e LEFT JOIN chunks c ON c.source_file = e.source_file AND e.line_start BETWEEN c.line_start AND (c.line_start + 199)",
@@ -405,9 +405,9 @@ SELECT * FROM n UNION ALL SELECT * FROM e WHERE source_file NOT IN (SELECT sourc
     "j16_stale_folders": f"{_SNAP}, {_FOLDERS.format(t='old').replace('FOLD', 'fa')}, {_FOLDERS.format(t='new').replace('FOLD', 'fb')} SELECT source_file FROM fa EXCEPT SELECT source_file FROM fb",
     "j17_delete_nodes": f"{_SNAP_G}, n AS (SELECT * FROM nodes WHERE file IS NULL OR file NOT IN (SELECT source_file FROM gone)) SELECT 'nodes' AS what, count(*) AS \"left\" FROM n UNION ALL SELECT 'edges', count(*) FROM edges WHERE s IN (SELECT uid FROM n) AND o IN (SELECT uid FROM n)",
     "so_sets": f"{_SNAP} SELECT 'union' AS op, count(*) AS n FROM (SELECT source_file FROM old UNION SELECT source_file FROM new) UNION ALL SELECT 'difference', count(*) FROM (SELECT source_file FROM old EXCEPT SELECT source_file FROM new) UNION ALL SELECT 'intersection', count(*) FROM (SELECT source_file FROM old INTERSECT SELECT source_file FROM new)",
-    "j18_mentions": f"{WITH}, f AS (SELECT DISTINCT ON (source_file) * FROM source_files), w AS (SELECT DISTINCT source_file, lower(unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM f WHERE content IS NOT NULL AND source_file LIKE '%.rst') SELECT source_file, name FROM w WHERE name IN (SELECT lower(name) FROM ents WHERE entity_type IN ('KconfigOption', 'Class') AND uid IS NOT NULL)",
+    "j18_mentions": f"{WITH}, f AS (SELECT DISTINCT ON (source_file) * FROM source_files), w AS (SELECT DISTINCT source_file, lower(unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM f WHERE content IS NOT NULL AND source_file LIKE '%.rst') SELECT source_file, name FROM w WHERE name IN (SELECT lower(name) FROM ents WHERE entity_type IN ('Function', 'Class') AND uid IS NOT NULL)",
     "j19_requirement_mentions": f"""{WITH}, q AS (SELECT DISTINCT lower(x) AS name FROM (SELECT unnest(string_split(name, '_')) AS x FROM ents WHERE entity_type = 'Function' AND uid IS NOT NULL) WHERE length(x) > 3),
-w AS (SELECT DISTINCT uid, lower(unnest(regexp_extract_all(description, '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM ents WHERE entity_type = 'Requirement' AND description IS NOT NULL)
+w AS (SELECT DISTINCT uid, lower(unnest(regexp_extract_all(coalesce(description, name), '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM ents WHERE entity_type = 'Requirement' AND uid IS NOT NULL)
 SELECT uid AS requirement, name, CAST(0.7 AS DOUBLE) AS confidence FROM w WHERE name IN (SELECT name FROM q)""",
     "j20_old_endpoints": f"""{WITH}, e AS (SELECT DISTINCT uid, lower(name) AS key, source_file FROM ents WHERE entity_type IN ('Function', 'KconfigOption')), al AS (SELECT key, count(DISTINCT uid) AS n, max(uid) AS uid FROM e GROUP BY 1), hf AS (SELECT key, source_file, count(DISTINCT uid) AS n, max(uid) AS uid FROM e GROUP BY 1, 2),
 r AS (SELECT lower(split_part(subject, '|', -1)) AS a, predicate, lower(split_part(object, '|', -1)) AS b, source_file, confidence FROM rels WHERE predicate IN ('CALLS', 'DEPENDS_ON', 'SELECTS')),
