@@ -44,9 +44,10 @@ def suffixes(path: Column) -> Column:
 def normal(path: Column) -> Column:
     """``.`` and ``..`` folded; a ``..`` above the top stays."""
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
-    step = lambda acc, p: F.when((p == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(p)))
-    safe = F.concat(F.array(F.lit("")), parts)  # element_at of an empty array must not be asked
-    folded = F.aggregate(safe, F.array(F.lit("")), lambda acc, p: F.when(p == "", acc).otherwise(step(acc, p)))
+    # the list starts with an empty part, so its last element can always be asked for
+    back = lambda acc, p: (p == "..") & ~F.element_at(acc, -1).isin("", "..")
+    step = lambda acc, p: F.when(back(acc, p), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(p)))
+    folded = F.aggregate(parts, F.array(F.lit("")), step)
     return F.array_join(F.filter(folded, lambda p: p != ""), "/")
 
 

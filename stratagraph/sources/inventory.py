@@ -16,11 +16,27 @@ OLD_CONFIG = (".json", ".yaml", ".yml", ".toml", ".ini", ".cfg")
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(source_file, content, size_bytes) of every file below a folder, without any filter on the suffix."""
+    """(source_file, bytes, size_bytes) of every file below a folder, without any filter on the suffix."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.lit(root.rstrip("/") + "/")
     full = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    return raw.select(F.substring(full, F.length(base) + 1, F.lit(2**30)).alias("source_file"), F.col("content").alias("bytes"), F.col("length").alias("size_bytes"))
+    found = raw.select(F.substring(full, F.length(base) + 1, F.lit(2**30)).alias("source_file"), F.col("content").alias("bytes"), F.col("length").alias("size_bytes"))
+    none = spark.createDataFrame([(p,) for p in empty_files(spark, root)], "source_file string")
+    return found.unionByName(none.select("source_file", F.lit(bytearray()).alias("bytes"), F.lit(0).cast("long").alias("size_bytes")))
+
+
+def empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Files without a byte, which the scan of binary files leaves out: names from the file system's own listing."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    out, it = [], fs.listFiles(top, True)
+    while it.hasNext():
+        f = it.next()
+        if f.getLen() == 0:
+            out.append(f.getPath().toUri().getPath().removeprefix(base))
+    return out
 
 
 def with_text(files: DataFrame) -> DataFrame:
