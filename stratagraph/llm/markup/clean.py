@@ -99,7 +99,8 @@ def render(leaves, labels) -> tuple[str, list[tuple[str, str]]]:
     for (line, _, fresh), k in zip(leaves, labels):
         name = LABELS[int(k)]
         if name == "syntax":
-            blocks.append(["", ""])
+            if not blocks or blocks[-1][0] != "table":  # the rows of a table are one block, whatever rules are between them
+                blocks.append(["", ""])
             continue
         kind = "paragraph" if name in ("text", "inline") else name
         if kind == "heading":

@@ -82,8 +82,11 @@ def scores(p, sequences) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([f, b, x], 2) @ p["V"] + p["C"])[mask], mask
 
 
-def classify(p, sequences: list[list[tuple[int, ...]]], rows: int = 512) -> list[np.ndarray]:
-    """The label of every leaf of every sequence. Sequences of like length run together."""
+def classify(p, sequences: list[list[tuple[int, ...]]], rows: int = 512, margin: float | None = None) -> list[np.ndarray]:
+    """The label of every leaf of every sequence. Sequences of like length run together.
+
+    With a margin, plain text (label 0) counts only where it leads by that much; else the best other label is given.
+    """
     order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
     out: list = [None] * len(sequences)
     for a in range(0, len(order), rows):
@@ -92,7 +95,10 @@ def classify(p, sequences: list[list[tuple[int, ...]]], rows: int = 512) -> list
             if not sequences[i]:
                 out[i] = np.zeros(0, np.int64)
         if part:
-            best = scores(p, [sequences[i] for i in part])[0].argmax(1)
+            z = scores(p, [sequences[i] for i in part])[0]
+            if margin is not None:
+                z[:, 0] -= margin
+            best = z.argmax(1)
             at = 0
             for i in part:
                 out[i] = best[at : at + len(sequences[i])]

@@ -23,6 +23,7 @@ from . import clean, lstm
 from .leaves import features, leaves, without_marks
 
 MAX_LEAVES = 512
+MARGIN = 4.0  # log odds by which a leaf must look plain; below that the exact check decides
 CLEANED = "tab string, row_id long, marked boolean, signs array<string>, text string, blocks array<struct<kind: string, text: string>>"
 _TEXT = clean.NAMES["text"]
 
@@ -33,7 +34,7 @@ def weights() -> dict[str, np.ndarray]:
         return {k: z[k].astype("float32") for k in z.files}
 
 
-def label(texts: list[str]) -> list[np.ndarray]:
+def label(texts: list[str], margin: float | None = None) -> list[np.ndarray]:
     """The label of every leaf of every text."""
     parts, owner = [], []
     for i, t in enumerate(texts):
@@ -41,7 +42,7 @@ def label(texts: list[str]) -> list[np.ndarray]:
         for a in range(0, len(f), MAX_LEAVES):
             parts.append(f[a : a + MAX_LEAVES])
             owner.append(i)
-    got = lstm.classify(weights(), parts)
+    got = lstm.classify(weights(), parts, margin=margin)
     out: list[list[np.ndarray]] = [[] for _ in texts]
     for i, g in zip(owner, got):
         out[i].append(g)
@@ -59,18 +60,29 @@ def signs(rows, labels) -> list[str]:
     return list(found)
 
 
+def settled(rows, labels) -> np.ndarray:
+    """Labels for rendering: a leaf without any sign of markup is plain after all."""
+    out = labels.copy()
+    for i in np.flatnonzero(labels != _TEXT):
+        before = rows[i - 1][0] if i else ""
+        after = rows[i + 1][0] if i + 1 < len(rows) else ""
+        if not clean.evidence(rows[i][0], before, after, rows[i][1]):
+            out[i] = _TEXT
+    return out
+
+
 def _run(render: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [without_marks(t, m) if tab == "entities" else t.replace("\r\n", "\n").replace("\r", "\n") for tab, m, t in zip(batch["tab"], batch["method"], batch["text"])]
             out = []
-            for tab, row, text, labels in zip(batch["tab"], batch["row_id"], texts, label(texts)):
+            for tab, row, text, labels in zip(batch["tab"], batch["row_id"], texts, label(texts, MARGIN)):
                 if not render and not (labels != _TEXT).any():
                     continue
                 rows = leaves(text)
                 found = signs(rows, labels)
                 if render:
-                    body, blocks = clean.render(rows, labels) if found else ("\n".join(text.split("\n")).strip(), [])
+                    body, blocks = clean.render(rows, settled(rows, labels)) if found else ("\n".join(text.split("\n")).strip(), [])
                     out.append((tab, row, bool(found), found, body, [{"kind": k, "text": s} for k, s in blocks]))
                 elif found:
                     out.append((tab, row, True, found, None, None))

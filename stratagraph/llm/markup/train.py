@@ -69,7 +69,7 @@ class Maker:
     def inline(self) -> str:
         r, w, s = self.r, self.w, self.words
         return r.choice([
-            lambda: f"**{s(1, 3)}**", lambda: f"*{s(1, 3)}*", lambda: f"__{s(1, 2)}__", lambda: f"_{s(1, 2)}_", lambda: f"~~{s(1, 4)} r{self.num()}~~", lambda: f"`{w()}_{w()}()`", lambda: f"`{w()}`", lambda: f"``{w()} {w()}``",
+            lambda: f"**{s(1, 3)}**", lambda: f"*{s(1, 3)}*", lambda: f"__{s(1, 2)}__", lambda: f"_{s(1, 2)}_", lambda: f"~~{s(1, 4)} r{self.num()}~~", lambda: f"`{w()}_{w()}()`", lambda: f"`{w()}`", lambda: f"`{w()}()`", lambda: f"`{self.ident()}`", lambda: f"`{w()}.{w()}`", lambda: f"`-{w()}`", lambda: f"``{w()} {w()}``",
             lambda: f"[{s(1, 4)}](../{w()}/{w()}.md)", lambda: f"[{s(1, 3)}](https://{w()}.org)", lambda: f"[{s(1, 3)}][{w()}]", lambda: f"<https://{w()}.org/{w()}>",
             lambda: f"<b>{s(1, 3)}</b>", lambda: f"<i>{w()}</i>", lambda: f"<em>{s(1, 2)}</em>", lambda: f"<code>{w()}</code>", lambda: f'<a href="../{w()}/{w()}.html#{w()}">{s(1, 3)}</a>', lambda: "<br/>", lambda: "<br>", lambda: f"<span>{w()}</span>", lambda: f"H<sub>{r.randint(0, 9)}</sub>",
             lambda: f"{w()} &lt; {w()}", lambda: f"{w()} &amp;&amp; {w()}", lambda: f"&nbsp;&mdash; {w()}", lambda: f"{self.num()}&deg;C", lambda: f"&#{self.num()};", lambda: "&quot;" + w() + "&quot;", lambda: f"<!-- {s(1, 5)} -->",

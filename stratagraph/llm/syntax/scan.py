@@ -131,6 +131,7 @@ _COMMENT = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|//(?:[^\\\n]|
 _DIRECTIVE = re.compile(r"^[ \t\f\v]*(?:#|%:)[ \t]*(\w*)((?:[^\\\n]|\\.)*)", re.M | re.S)
 # The directives of the C preprocessor.
 _DIRECTIVES = frozenset("define undef include include_next import line error warning pragma ident assert embed".split())
+_CONDITIONS = frozenset("if ifdef ifndef elif elifdef elifndef else endif".split())
 _ATOM = re.compile(r"defined\s*\(\s*(\w+)\s*\)|defined\s+(\w+)|\w+\s*\([^()]*\)|0[xX][\da-fA-F]+[uUlL]*|\d+[uUlL]*|[A-Za-z_]\w*|&&|\|\||[!=]=|[<>]=?|<<|>>|[-+*/%!()?:~&|^]|\S")
 
 
@@ -182,13 +183,15 @@ class _Branches:
         self.errors: list[int] = []
 
 
-def _tree(text: str, scan):
-    """Splits a text without comments at its directives; scan(text, from, to) -> a token run."""
+def _tree(text: str, scan, hash_names: bool = False):
+    """Splits a text without comments at its directives; scan(text, from, to) -> a token run. hash_names: names may start with #."""
     b = _Branches()
     stack: list[tuple[list, list]] = []
     body, last = b.top, 0
     for m in _DIRECTIVE.finditer(text):
         word, rest = m[1], m[2]
+        if hash_names and word not in _CONDITIONS and word not in _DIRECTIVES:
+            continue
         if m.start() > last:
             body.append(scan(text, last, m.start()))
         last = m.end()
@@ -254,7 +257,7 @@ def _choose(items, known: dict[str, bool], out: list, free: dict[str, None]):
                 break
 
 
-def readings(text: str, scan):
+def readings(text: str, scan, hash_names: bool = False):
     """The token runs a compiler may see: unknown switches all off, all on, and each one alone on or off."""
     text = text.replace("\r\n", "\n")
     if "/" in text:
@@ -262,7 +265,7 @@ def readings(text: str, scan):
     if "#" not in text and "%:" not in text:
         yield scan(text, 0, len(text)), text
         return
-    b = _tree(text, scan)
+    b = _tree(text, scan, hash_names)
     if b.errors:
         yield ([BAD], [min(b.errors)]), text
         return
@@ -449,7 +452,7 @@ def _dt_run(text: str, a: int, z: int):
 
 
 def devicetree(text: str):
-    return readings(text, _dt_run)
+    return readings(text, _dt_run, hash_names=True)
 
 
 # ---------------------------------------------------------------- Python
