@@ -274,7 +274,7 @@ def g05_pagerank(s, d):
 
     e = g.edge("CALLS").select("type", "start", "end")
     n = e.select(F.explode(F.array("start", "end")).alias("uid")).distinct()
-    return PropertyGraph(n, e).pagerank(4).select("uid", F.round("rank", 6).alias("rank"))
+    return PropertyGraph(n, e).pagerank(4).select("uid", F.round("rank", 10).alias("rank"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -356,3 +356,22 @@ SELECT uid, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1""",
     "sweep_long_uncommented": f"""{WITH} SELECT DISTINCT entity_id, name FROM ents WHERE entity_type = 'Function' AND kind = 'definition' AND length(substr(source_text, 1, 8000)) - length(replace(substr(source_text, 1, 8000), chr(10), '')) > 20
 AND NOT regexp_matches(substr(source_text, 1, 8000), '(?m)^\\s*(?://|/\\*|\\*|#)')""",
 }
+
+
+def _ranks(rounds: int) -> str:
+    out = f"{WITH}, e AS (SELECT DISTINCT s, o FROM edges WHERE type = 'CALLS'), d AS (SELECT s, count(*) AS outs FROM e GROUP BY 1), r0 AS (SELECT DISTINCT uid, CAST(1.0 AS DOUBLE) AS rank FROM (SELECT s AS uid FROM e UNION ALL SELECT o FROM e))"
+    for i in range(rounds):
+        out += f", g{i} AS (SELECT e.o AS uid, sum(r.rank / d.outs) AS given FROM e JOIN d USING (s) JOIN r{i} r ON r.uid = e.s GROUP BY 1), r{i + 1} AS (SELECT r.uid, CAST(1 AS DOUBLE) - CAST(0.85 AS DOUBLE) + CAST(0.85 AS DOUBLE) * coalesce(given, 0) AS rank FROM r{i} r LEFT JOIN g{i} USING (uid))"
+    return f"{out} SELECT uid, round(rank, 10) AS rank FROM r{rounds}"
+
+
+def _communities(rounds: int) -> str:
+    out = f"""{WITH}, x AS (SELECT DISTINCT s, o FROM edges WHERE type IN ('DEPENDS_ON', 'SELECTS')), e AS (SELECT s, o FROM x WHERE s <> o UNION SELECT o, s FROM x WHERE s <> o),
+l0 AS (SELECT uid, uid AS community FROM nodes WHERE label = 'KconfigOption' UNION SELECT o, o FROM x)"""
+    for i in range(rounds):
+        out += f""", v{i} AS (SELECT e.s AS uid, l.community, count(*) AS n FROM e JOIN l{i} l ON l.uid = e.o GROUP BY 1, 2), b{i} AS (SELECT uid, community AS new FROM v{i} QUALIFY row_number() OVER (PARTITION BY uid ORDER BY n DESC, community) = 1),
+l{i + 1} AS (SELECT l.uid, coalesce(new, community) AS community FROM l{i} l LEFT JOIN b{i} USING (uid))"""
+    return f"{out} SELECT uid, community FROM l{rounds}"
+
+
+SQL |= {"g05_pagerank": _ranks(4), "g05_communities": _communities(3)}

@@ -359,6 +359,15 @@ _INC = f"""{_F}, refs AS (SELECT DISTINCT source_file, unnest(regexp_extract_all
 tails AS (SELECT source_file, unnest(list_transform(range(1, len(string_split(source_file, '/')) + 1), lambda i: array_to_string(string_split(source_file, '/')[i:], '/'))) AS tail FROM f),
 uniq AS (SELECT tail, any_value(source_file) AS only FROM tails GROUP BY tail HAVING count(*) = 1)"""
 _V = ", ".join
+
+
+def _bm25(source: str, key: str, column: str, terms: list[str], k: int) -> str:
+    values = ", ".join(f"('{t}')" for t in terms)
+    return f"""WITH d AS (SELECT {key}, len(l) AS size, l FROM (SELECT {key}, regexp_extract_all(lower({column}), '[a-z0-9_]+') AS l FROM {source} WHERE {column} IS NOT NULL) WHERE len(l) > 0), s AS (SELECT count(*) AS n, avg(size) AS mean FROM d),
+tf AS (SELECT {key}, size, t.term, len(list_filter(l, lambda x: x = t.term)) AS tf FROM d, (VALUES {values}) t(term)), df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY 1)
+SELECT {key}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM tf JOIN df USING (term), s GROUP BY 1 HAVING sum(tf) > 0 ORDER BY 2 DESC, 1 LIMIT {k}"""
+
+
 SQL = {
     "s01_folders": f"{_F}, {_FOLDERS.format(t='f')} SELECT source_file, {_NAME} AS name, CASE WHEN source_file = '.' THEN NULL ELSE {_PARENT} END AS parent FROM FOLD".replace(f"{_NAME} AS name", f"CASE WHEN source_file = '.' THEN '.' ELSE {_NAME} END AS name"),
     "s01_contains": f"{_F}, {_FOLDERS.format(t='f')} SELECT 'Folder|' || {_PARENT} AS subject, 'Folder|' || source_file AS object FROM FOLD WHERE source_file <> '.' UNION ALL SELECT 'Folder|' || {_PARENT}, 'SourceFile|' || source_file FROM f",
@@ -423,5 +432,16 @@ SELECT vec_id, round(list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list
     "v02_bm25": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS l FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, len(l) AS size, l FROM w WHERE len(l) > 0), s AS (SELECT count(*) AS n, avg(size) AS mean FROM d),
 tf AS (SELECT doc_id, size, t.term, len(list_filter(l, lambda x: x = t.term)) AS tf FROM d, (VALUES ('debugger'), ('scheduler'), ('stack'), ('trace')) t(term)), df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY 1)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM tf JOIN df USING (term), s GROUP BY 1 HAVING sum(tf) > 0 ORDER BY 2 DESC, 1 LIMIT 10""",
+    "v03_fused": f"""WITH a AS ({_bm25('documents', 'doc_id', 'text', ['debugger', 'stack', 'trace'], 20)}), b AS ({_bm25('documents', 'doc_id', 'text', ['scheduler', 'test', 'unit'], 20)}),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM a UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) FROM b)
+SELECT doc_id, round(sum(1.0 / (60 + k)), 8) AS score FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
+    "v06_answers": f"""WITH c AS (SELECT DISTINCT ON (uid) * FROM source_chunks), h AS ({_bm25('c', 'uid', 'content', ['handler', 'interrupt', 'queue'], 10)})
+SELECT c.uid, source_file, line_start, CAST(length(substr(content, 1, 200)) AS INTEGER) AS chars FROM h JOIN c USING (uid)""",
+    "j09_document_roles": f"""{WITH}, {_SYM}, f AS (SELECT DISTINCT ON (source_file) * FROM source_files), k AS (SELECT DISTINCT CASE WHEN entity_type = 'Function' THEN 'function' ELSE 'typelike' END AS target_kind, key, uid, file, prio FROM sym WHERE entity_type IN ('Function', 'Class', 'Type', 'Macro')),
+x AS (SELECT DISTINCT source_file, unnest(regexp_extract_all(content, ':[A-Za-z][A-Za-z0-9_:+-]*:`[^`\\n]+`')) AS ref FROM f WHERE content IS NOT NULL AND source_file LIKE '%.rst'),
+y AS (SELECT source_file, regexp_extract(ref, '^:(.+):`([^`]+)`$', 1) AS role, regexp_extract(ref, '^:(.+):`([^`]+)`$', 2) AS target FROM x),
+p AS (SELECT *, lower(regexp_replace(target, '\\(\\)$', '')) AS key, CASE WHEN role IN ('c:func', 'cpp:func', 'c:function') THEN 'function' WHEN role IN ('c:struct', 'c:type', 'c:macro', 'c:enum', 'c:union', 'c:enumerator', 'cpp:type', 'cpp:struct') THEN 'typelike' END AS target_kind FROM y),
+per AS (SELECT target_kind, key, prio, count(*) AS n, max(uid) AS uid FROM k GROUP BY 1, 2, 3), al AS (SELECT target_kind, key, sum(n) AS n, max(struct_pack(prio := prio, ties := n, uid := uid)) AS top FROM per GROUP BY 1, 2)
+SELECT source_file, role, target, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 OR top.ties = 1 THEN 'ok' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 OR top.ties = 1 THEN top.uid END AS target_uid FROM p LEFT JOIN al USING (target_kind, key) WHERE target_kind IS NOT NULL""",
     "v05_metadata_filter": "SELECT lower(trim(source)) AS source, count(*) AS n FROM documents WHERE lang = 'en' AND doc_id IN (SELECT doc_id FROM subject_labels WHERE lower(trim(subject)) = 'law') GROUP BY 1",
 }
