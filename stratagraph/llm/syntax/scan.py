@@ -348,7 +348,27 @@ _AFTER_TYPE = frozenset(["BASE", "STORAGE", "const", "STRUCT", "enum", "typeof",
 _DECLARES = frozenset([";", "=", ",", ")", "[", "(", "colon", "__attribute__", "asm", "{"])
 
 
+@lru_cache(1 << 16)
+def _c_line(line: str) -> tuple[tuple[str, ...], tuple[int, ...]]:
+    kinds, at = _c_tokens(line, 0, len(line))
+    return tuple(kinds), tuple(at)
+
+
 def _c_run(text: str, a: int, z: int):
+    """Tokens of a run. No token of C goes over a line end but behind a backslash, and lines repeat a lot."""
+    if "\\\n" in text:
+        return _c_tokens(text, a, z)
+    kinds, at = [], []
+    for line in text[a:z].split("\n"):
+        if line:
+            k, o = _c_line(line)
+            kinds += k
+            at += [a + x for x in o]
+        a += len(line) + 1
+    return kinds, at
+
+
+def _c_tokens(text: str, a: int, z: int):
     kinds, at = [], []
     add, pos = kinds.append, at.append
     words, ops = _C_WORDS.get, _C_OPS.get
