@@ -28,12 +28,13 @@ END = "$end"
 class Tables:
     """LALR(1) tables: plain dicts and lists, so they pickle into a broadcast."""
 
-    __slots__ = ("accept", "action", "goto", "lhs", "more", "names", "size", "start", "terminals")
+    __slots__ = ("accept", "action", "chains", "goto", "lhs", "more", "names", "size", "start", "terminals")
 
     def __init__(self, action, more, goto, lhs, size, start, accept, terminals, names):
         self.action, self.more, self.goto = action, more, goto
         self.lhs, self.size, self.start, self.accept = lhs, size, start, accept
         self.terminals, self.names = terminals, names
+        self.chains: dict[tuple[int, int, int], int] = {}  # (state below, symbol, token) -> state after a chain of unit rules
 
     def __getstate__(self):
         return tuple(getattr(self, k) for k in self.__slots__)
@@ -233,7 +234,7 @@ def load(name: str) -> Tables:
 
 def parse(t: Tables, tokens, start: str | None = None) -> int:
     """Index of the first token that no action takes, or -1 if the tokens (the last is END) are a sentence."""
-    action, goto, lhs, size = t.action, t.goto, t.lhs, t.size
+    action, goto, lhs, size, chains = t.action, t.goto, t.lhs, t.size, t.chains
     s = t.start[start] if start else 0
     stack = [s]
     i, end = 0, len(tokens)
@@ -244,7 +245,13 @@ def parse(t: Tables, tokens, start: str | None = None) -> int:
             n = size[-a - 1]
             if n:
                 del stack[-n:]
-            s = goto[stack[-1]][lhs[-a - 1]]
+            key = (stack[-1], lhs[-a - 1], tok)
+            s = chains.get(key)
+            if s is None:  # unit rules in a row replace the top state only; what is left of them is remembered
+                base, s = key[0], goto[key[0]][key[1]]
+                while (a := action[s].get(tok)) is not None and a < 0 and size[-a - 1] == 1:
+                    s = goto[base][lhs[-a - 1]]
+                chains[key] = s
             stack.append(s)
             a = action[s].get(tok)
         if a is None:
