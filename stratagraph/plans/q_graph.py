@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..common import table
 from ..operators import dedup, metrics, resolve, retrieval, store
+from ..operators.graph import PropertyGraph
 from .graphs import WITH, edges, entities, graph, nodes, relations
 
 
@@ -263,22 +264,36 @@ def g05_communities(s, d):
     g = graph(s, d)
     n = g.node("KconfigOption").select("uid")
     e = g.edge("DEPENDS_ON", "SELECTS").select("type", "start", "end")
-    from ..operators.graph import PropertyGraph
-
     return PropertyGraph(n.unionByName(e.select(F.col("end").alias("uid"))).distinct(), e).communities(3)
 
 
 def g05_pagerank(s, d):
     g = graph(s, d)
-    from ..operators.graph import PropertyGraph
-
     e = g.edge("CALLS").select("type", "start", "end")
     n = e.select(F.explode(F.array("start", "end")).alias("uid")).distinct()
     return PropertyGraph(n, e).pagerank(4).select("uid", F.round("rank", 10).alias("rank"))
 
 
+def _events(s, d):
+    """Event types as nodes, and which type followed which for some user as edges: a small graph full of cycles."""
+    e = table(s, d, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    pairs = e.select(F.col("event_type").alias("start"), F.lead("event_type").over(w).alias("end")).where("end is not null").distinct()
+    n = e.select(F.col("event_type").alias("uid")).distinct()
+    return PropertyGraph(n.select("uid", F.lit("Event").alias("label")), pairs.select(F.lit("NEXT").alias("type"), "start", "end"))
+
+
+def g01_event_paths(s, d):
+    g = _events(s, d)
+    return g.paths(["NEXT"], g.nodes.where("uid = 'signup'"), g.nodes.where("uid = 'purchase'"), 3).select(F.array_join("chain", " > ").alias("chain"), "depth")
+
+
+def g02_event_cycles(s, d):
+    return _events(s, d).cycles(["NEXT"], 2, 3).select(F.array_join("chain", " > ").alias("chain"), "depth")
+
+
 QUERIES = {f.__name__: f for f in (
-    q01_node_inventory, q02_edge_inventory, q03_documents_containing, q04_driver_functions, q05_peripherals, q06_boards, q07_board_support, q08_function_usage, q09_document_descriptions, q10_call_graph,
+    g01_event_paths, g02_event_cycles, q01_node_inventory, q02_edge_inventory, q03_documents_containing, q04_driver_functions, q05_peripherals, q06_boards, q07_board_support, q08_function_usage, q09_document_descriptions, q10_call_graph,
     t1_uart_functions, t2_edges_at_uart, t3_documents, t4_requirements, t5_and_or_filter, t6_call_paths, t6_shortest, t7_include_cycles, t7_call_cycles, d1_node_to_binding, d2_unwound_labels, r1_converging, r2_two_hops, g03_callers, g06_subtree,
     a01_best_entities, a02_last_relations, a03_surest_relations, a04_degree, a05_isolated, a06_type_distribution, a08_completeness, a09_label_sets, a10_schema_nodes, a11_confidence_histogram, a12_cross_links, a15_totals, a16_distinct_labels, a18_collect, a19_merged_edges,
     o03_top_central, j08_stub_options, j11_skipped_ends, j12_has_chunk, proj_node_rows, v09_route, v09_versions, sweep_stubs, sweep_unsure, sweep_degree_zero, sweep_long_uncommented, g05_communities, g05_pagerank,
@@ -375,3 +390,13 @@ l{i + 1} AS (SELECT l.uid, coalesce(new, community) AS community FROM l{i} l LEF
 
 
 SQL |= {"g05_pagerank": _ranks(4), "g05_communities": _communities(3)}
+
+
+def _event_walk(least: int, most: int, first: str, last: str) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT s, o FROM (SELECT event_type AS s, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events) WHERE o IS NOT NULL),
+walk(s, o, chain, trail, depth) AS (SELECT s, o, s || ' > ' || o, [s || chr(1) || o], 1 FROM e WHERE {first}
+  UNION ALL SELECT w.s, e.o, w.chain || ' > ' || e.o, list_append(w.trail, e.s || chr(1) || e.o), w.depth + 1 FROM walk w JOIN e ON w.o = e.s WHERE w.depth < {most} AND NOT list_contains(w.trail, e.s || chr(1) || e.o))
+SELECT chain, depth FROM walk WHERE depth >= {least} AND {last}"""
+
+
+SQL |= {"g01_event_paths": _event_walk(1, 3, "s = 'signup'", "o = 'purchase'"), "g02_event_cycles": _event_walk(2, 3, "true", "s = o")}
