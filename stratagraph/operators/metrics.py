@@ -86,9 +86,9 @@ def verify_counts(exported: DataFrame, stored: DataFrame, key: str) -> DataFrame
 
 def distinct_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: how many labels and edge types there are, and whether they are suspiciously few."""
-    a = nodes.agg(F.countDistinct("label").alias("labels"))
-    b = edges.agg(F.countDistinct("type").alias("types"))
-    return a.join(b).select("labels", "types", (F.col("labels") < 5).alias("few_labels"), (F.col("types") < 8).alias("few_types"))
+    none = F.lit(None).cast("string")
+    both = nodes.select("label", none.alias("type")).unionByName(edges.select(none.alias("label"), "type"))
+    return both.agg(F.countDistinct("label").alias("labels"), F.countDistinct("type").alias("types")).select("labels", "types", (F.col("labels") < 5).alias("few_labels"), (F.col("types") < 8).alias("few_types"))
 
 
 def _ambiguity(rows: DataFrame, reason: str) -> DataFrame:
