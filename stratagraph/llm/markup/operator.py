@@ -4,7 +4,7 @@ Every leaf of a text is labelled by the trained bidirectional LSTM (``lstm``), r
 hashed shapes of words, with the whole text as context; clean text and blocks follow from the labels. A text is a case
 if a leaf has a label of markup and an exact check finds the sign of it.
 
-Defined results: null and blank texts have no leaf and are no case; repeated rows count once per id; texts are read
+Defined results: null and blank texts, and texts without an id, are no case; repeated rows count once per id; texts are read
 whole, whatever their length (a sequence is cut into runs of ``MAX_LEAVES`` leaves with nothing left out).
 """
 
@@ -96,7 +96,7 @@ def texts_of(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     a = chunks.where("chunk_type = 'section'").select(F.lit("source_chunks").alias("tab"), F.col("chunk_id").alias("row_id"), none.alias("method"), F.col("content").alias("text"))
     b = entities.select(F.lit("entities").alias("tab"), F.col("entity_id").alias("row_id"), F.col("extraction_method").alias("method"), F.col("description").alias("text"))
-    return a.unionByName(b).where(F.trim("text") != "")
+    return a.unionByName(b).where((F.trim("text") != "") & F.col("row_id").isNotNull())
 
 
 def clean_texts(texts: DataFrame, render: bool = True) -> DataFrame:

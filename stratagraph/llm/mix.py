@@ -8,7 +8,8 @@ Rates then become whole copies by systematic rounding along the token counts, so
 one document at most, and no document passes its cap.
 
 Defined results: sources are compared without case and surrounding blanks; documents with null or empty text or
-without source count zero tokens or belong to no named source, and are never chosen; a repeated doc_id counts once;
+without source count zero tokens or belong to no named source, and are never chosen; a repeated doc_id counts once, a document without one not at all; a target without source is
+left out, a missing share or ratio is 0 and a missing cap 1;
 a share of zero, or a source without documents, gives a row of the report with zero tokens; a target out of reach
 takes every document max_repeats times and is reported as not reached.
 """
@@ -53,7 +54,7 @@ def with_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch.doc_id, "source": batch.source, "tokens": [len(encode(t)) for t in batch.text]})
 
     source = F.lower(trim_blank(F.col("source")))
-    texts = documents.select("doc_id", source.alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = documents.where("doc_id is not null").select("doc_id", source.alias("source"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInPandas(count, "doc_id long, source string, tokens long").dropDuplicates(["doc_id"])
 
 
@@ -102,9 +103,9 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) ->
     docs = cut(with_tokens(documents, tokenizer))
     histogram = cut(docs.groupBy("source", "tokens").agg(F.count("*").alias("n")))
     corpus = histogram.agg(F.sum(F.col("tokens") * F.col("n"))).first()[0] or 0
-    wanted = targets.select(
-        "mix_id", F.lower(trim_blank(F.col("source"))).alias("source"), "target_share", "max_repeats",
-        (F.col("target_share") * F.col("size_ratio") * F.lit(float(corpus))).alias("target"),
+    share, ratio = F.coalesce("target_share", F.lit(0.0)), F.coalesce("size_ratio", F.lit(0.0))
+    wanted = targets.where("source is not null").select(
+        "mix_id", F.lower(trim_blank(F.col("source"))).alias("source"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"), (share * ratio * F.lit(float(corpus))).alias("target"),
     ).distinct()
     solved = _solve(histogram, wanted)
 

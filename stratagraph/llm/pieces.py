@@ -11,8 +11,8 @@ characters of the piece before. Cuts prefer the start of a paragraph, then of a
 white space, and take the farthest of the best within reach; only text without any of these is cut elsewhere, and
 never inside a CR LF pair.
 
-Defined results: a null chunk_type means ``fixed_window``; chunks of a type without limits, with null content, or
-within their limit give no piece; repeated rows give one set of pieces; line numbers are counted from line_start
+Defined results: a null chunk_type means ``fixed_window``; chunks of a type without limits, with null content, without
+an id, or within their limit give no piece; repeated rows give one set of pieces; line numbers are counted from line_start
 (null: 1) by line feeds, whatever line_end says. An overlap of half the limit or more is an error in the limits.
 """
 
@@ -51,7 +51,7 @@ def oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     ok = F.when(F.col("overlap_chars") * 2 < F.col("max_chars"), F.col("max_chars")).otherwise(F.raise_error(F.lit("overlap_chars must be less than half of max_chars")))
     kind = F.coalesce("chunk_type", F.lit(DEFAULT_TYPE)).alias("kind")
     big = chunks.select("chunk_id", kind, F.coalesce("line_start", F.lit(1)).alias("line_start"), "content").join(limits.withColumn("max_chars", ok), "kind")
-    return big.where(F.length("content") > F.col("max_chars")).dropDuplicates(["chunk_id"]).select("chunk_id", "line_start", "content", "max_chars", "overlap_chars")
+    return big.where((F.length("content") > F.col("max_chars")) & F.col("chunk_id").isNotNull()).dropDuplicates(["chunk_id"]).select("chunk_id", "line_start", "content", "max_chars", "overlap_chars")
 
 
 def _ranges(big: DataFrame, size: int) -> DataFrame:

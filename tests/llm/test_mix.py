@@ -34,6 +34,8 @@ def test_odd_rows(spark):
     docs = [(1, None, "a b", "!"), (2, "s", None, "!"), (3, "s", "", "!"), (4, "s", "x y z", "!"), (4, "s", "x y z", "!"), (5, "s", "w " * 100000, "!")]
     chosen, rep = run(spark, docs, [("m", "s", 1.0, 4, 3.0), ("m", "t", 0.0, 1, 3.0)])
     assert {c.doc_id for c in chosen} <= {4, 5} and rep[("m", "t")].actual_tokens == 0
+    chosen, rep = run(spark, [*docs, (None, "s", "q q", "!")], [("m", "s", None, None, 1.0), ("m", None, 0.5, 1, 1.0), ("n", "s", 1.0, None, 0.5)])
+    assert set(rep) == {("m", "s"), ("n", "s")} and rep[("m", "s")].actual_tokens == 0 and all(c.copies == 1 and c.doc_id for c in chosen)
     chosen, rep = run(spark, [], [("m", "s", 1.0, 4, 3.0)])
     assert chosen == [] and rep[("m", "s")].actual_tokens == 0
     assert run(spark, docs, []) == ([], {})

@@ -51,6 +51,11 @@ def test_long_items_take_several_segments(spark, monkeypatch):
     check(spark, [(1, "section", 1, 1, "word and more words here\n" * 400, "z"), (2, "section", 5, 1, "z" * 9000, "z")], 256)
 
 
+def test_rows_without_id(spark):
+    lim = spark.createDataFrame(LIM, "chunk_type string, max_chars int, overlap_chars int")
+    assert P.split_oversized(spark.createDataFrame([(None, None, 1, 1, "x " * 200, "z")], CH), lim).count() == 0
+
+
 def test_cuts_are_natural_where_they_can_be(spark):
     text = "\n\n".join("word " * 6 for _ in range(40))
     ps = sorted(check(spark, [(1, None, 1, 1, text, "z")])[1], key=lambda r: r.piece_no)
