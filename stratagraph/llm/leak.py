@@ -1,7 +1,9 @@
 """Evaluation texts leaking into training text.
 
-One Aho-Corasick automaton holds every run of ``words`` consecutive words of every test item (and, on demand, whole
-short answers); each document is normalised and scanned once, and hits are mapped back to offsets of the original text.
+One Aho-Corasick automaton holds every run of ``words`` consecutive words of every test item, and every whole answer;
+each document is normalised and scanned once, and hits are mapped back to offsets of the original text. A run makes a
+leak; an answer alone does not (answers are short and common), but a leak says whether the document has it as well.
+Answers of a single character are the letters of choices and are not looked for.
 
 A word is a longest run of letters and digits, compared without case. Items or documents that are null, blank or have
 fewer words than a run never match; items with one text are cases of their own; a repeated document row gives the
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 RUN_WORDS = 12
 MAX_ITEM_CHARS = 20_000_000
 WORD = re.compile(r"[^\W_]+")
-HITS = "doc_id long, item_id long, first_char long, last_char long, words long"
+HITS = "doc_id long, item_id long, first_char long, last_char long, words long, with_answer boolean"
+HITS_NAMES = [c.split()[0] for c in HITS.split(", ")]
 
 
 def normal_words(text: str) -> list[str]:
@@ -40,25 +43,30 @@ def runs(items: list[tuple[int, str]], words: int) -> dict[str, list[int]]:
     return out
 
 
-def _automaton(found: dict[str, list[int]]):
+def _automaton(found: dict[str, list[int]], answers: dict[str, list[int]] | None = None):
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for key, ids in found.items():
-        a.add_word(key, (len(key), ids))
+    answers = answers or {}
+    for key in found.keys() | answers.keys():
+        a.add_word(key, (len(key), found.get(key, ()), answers.get(key, ())))
     a.make_automaton()
     return a
 
 
 def scan_text(automaton, text: str, words: int) -> dict[int, list[int]]:
-    """Item -> [offset of the first matched word, end of the last one, matched runs] in the original text."""
+    """Item -> [offset of the first matched word, end of the last one, matched runs, whether its answer is there] in the original text."""
     low = WORD.findall(text)
     if len(low) < words:
         return {}
     body = f" {' '.join(low)} ".lower()
     hits: dict[int, list[int]] = {}
+    answered: set[int] = set()
     spans = None
-    for end, (length, ids) in automaton.iter(body):
+    for end, (length, ids, answers) in automaton.iter(body):
+        answered.update(answers)
+        if not ids:
+            continue
         if spans is None:  # only texts with a hit need the map of offsets
             spans = [m.span() for m in WORD.finditer(text)]
             starts, at = {}, 0
@@ -68,30 +76,39 @@ def scan_text(automaton, text: str, words: int) -> dict[int, list[int]]:
         first = starts[end - length + 1]
         a, z = spans[first][0], spans[first + words - 1][1]
         for item in ids:
-            have = hits.setdefault(item, [a, z, 0])
+            have = hits.setdefault(item, [a, z, 0, False])
             have[0], have[1], have[2] = min(have[0], a), max(have[1], z), have[2] + 1
+    for item in hits.keys() & answered:
+        hits[item][3] = True
     return hits
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, words: int = RUN_WORDS, max_item_chars: int = MAX_ITEM_CHARS) -> DataFrame:
-    """(doc_id, item_id, first_char, last_char, words): each document and item that share a run of words."""
+    """(doc_id, item_id, first_char, last_char, words, with_answer): each document and item that share a run of words."""
     spark = documents.sparkSession
-    wanted = items.select("item_id", "item_text").where(F.col("item_text").isNotNull() & F.col("item_id").isNotNull()).distinct()
-    size = wanted.agg(F.sum(F.length("item_text"))).first()[0] or 0
+    answer = F.col("answer") if "answer" in items.columns else F.lit(None).cast("string")
+    wanted = items.select("item_id", "item_text", answer.alias("answer")).where(F.col("item_text").isNotNull() & F.col("item_id").isNotNull()).distinct()
+    size = wanted.agg(F.sum(F.length("item_text") + F.coalesce(F.length("answer"), F.lit(0)))).first()[0] or 0
     if size > max_item_chars:
         raise ValueError(f"the test items have {size} characters, more than max_item_chars={max_item_chars}")
-    found = runs([(r.item_id, r.item_text) for r in wanted.collect()], words)  # bounded by the check above
-    shared = spark.sparkContext.broadcast(found)
+    rows = wanted.collect()  # bounded by the check above
+    found = runs([(r.item_id, r.item_text) for r in rows], words)
+    answers: dict[str, list[int]] = {}
+    for r in rows:
+        w = normal_words(r.answer or "")
+        if len("".join(w)) > 1:
+            answers.setdefault(f" {' '.join(w)} ", []).append(r.item_id)
+    shared = spark.sparkContext.broadcast((found, answers))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(shared.value) if shared.value else None
+        automaton = _automaton(*shared.value) if shared.value[0] else None
         for batch in batches:
             rows = []
             if automaton is not None:
                 for doc_id, text in zip(batch.doc_id, batch.text):
-                    for item, (a, z, n) in scan_text(automaton, text, words).items():
-                        rows.append((doc_id, item, a, z, n + words - 1))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_char", "last_char", "words"]).astype("int64")
+                    for item, (a, z, n, answered) in scan_text(automaton, text, words).items():
+                        rows.append((doc_id, item, a, z, n + words - 1, answered))
+            yield pd.DataFrame(rows, columns=HITS_NAMES).astype(dict.fromkeys(HITS_NAMES[:-1], "int64"))
 
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     return texts.mapInPandas(scan, HITS).dropDuplicates(["doc_id", "item_id"])

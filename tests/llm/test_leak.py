@@ -39,3 +39,9 @@ def test_the_bound_on_items_is_checked(spark):
         raise AssertionError
     except ValueError as e:
         assert "max_item_chars" in str(e)
+
+
+def test_answers_mark_leaks_and_make_none(spark):
+    i = spark.createDataFrame([(1, TEXT, "Forty-two!"), (2, TEXT, "blue"), (3, "short", "nothing else")], "item_id long, item_text string, answer string")
+    d = spark.createDataFrame([(1, TEXT + " It is forty two."), (2, TEXT), (3, "forty two nothing else " * 9)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.with_answer) for r in leak.find_leaks(d, i).collect()} == {(1, 1, True), (1, 2, False), (2, 1, False), (2, 2, False)}
