@@ -40,7 +40,11 @@ class PropertyGraph:
 
     def reachable(self, types: list[str], seeds: DataFrame, depth: int, backward: bool = False) -> DataFrame:
         """(uid, depth): nodes within so many steps of the seeds, each with its least depth. One join a step, frontiers only."""
-        e = self.edge(*types).select("start", "end").distinct()
+        return self._reach(cut(self.edge(*types).select("start", "end").distinct()), seeds, depth, backward)
+
+    @staticmethod
+    def _reach(e: DataFrame, seeds: DataFrame, depth: int, backward: bool) -> DataFrame:
+        """The same over distinct (start, end) that are cut already: every step reads them."""
         e = e.select(F.col("end").alias("a"), F.col("start").alias("b")) if backward else e.select(F.col("start").alias("a"), F.col("end").alias("b"))
         seen = cut(seeds.select("uid").distinct().withColumn("depth", F.lit(0)))
         front = seen
@@ -57,10 +61,11 @@ class PropertyGraph:
 
         Pruned from both sides: a trail is only carried on over nodes from which a target can still be reached in time.
         """
-        e = self.edge(*types).select("start", "end").distinct().withColumn("eid", F.xxhash64("start", "end"))
-        left = self.reachable(types, targets, most, backward=True).select(F.col("uid").alias("end"), F.col("depth").alias("left"))
-        e = cut(e.join(left, "end"))
-        goal = targets.select(F.col("uid").alias("goal")).distinct()
+        e = cut(self.edge(*types).select("start", "end").distinct())
+        ends = cut(targets.select("uid").distinct())  # every step asks for them
+        left = self._reach(e, ends, most, backward=True).select(F.col("uid").alias("end"), F.col("depth").alias("left"))
+        e = cut(e.withColumn("eid", F.xxhash64("start", "end")).join(left, "end"))
+        goal = ends.select(F.col("uid").alias("goal"))
         front = sources.select("uid").distinct().select(F.col("uid").alias("source"), F.col("uid").alias("at"), F.array("uid").alias("chain"), F.array().cast("array<bigint>").alias("trail"))
         found = []
         for d in range(1, most + 1):

@@ -106,6 +106,24 @@ def t7_call_cycles(s, d):
     return graph(s, d).cycles(["CALLS"], 2, 2).select(F.array_join("chain", " > ").alias("chain"), "depth")
 
 
+def g01_call_trails(s, d):
+    """t6 at the depth of the reference, CALLS*1..10."""
+    return t6_call_paths(s, d, most=10)
+
+
+def g01_shortest_trails(s, d):
+    return g01_call_trails(s, d).orderBy("depth", "chain").limit(5)
+
+
+def g02_include_cycles(s, d):
+    """t7 at the depth of the reference, INCLUDES*2..5."""
+    return graph(s, d).cycles(["INCLUDES"], 2, 5).select(F.array_join("chain", " > ").alias("chain"), "depth")
+
+
+def g02_call_cycles(s, d):
+    return graph(s, d).cycles(["CALLS"], 2, 5).select(F.array_join("chain", " > ").alias("chain"), "depth")
+
+
 def d1_node_to_binding(s, d):
     return _pairs(s, d, "DTNode", ["COMPATIBLE_WITH"], "DTBinding").where(F.col("a_name").startswith("uart")).select(F.col("a_name").alias("node"), F.col("b_name").alias("binding"))
 
@@ -294,7 +312,7 @@ def g02_event_cycles(s, d):
 
 QUERIES = {f.__name__: f for f in (
     g01_event_paths, g02_event_cycles, q01_node_inventory, q02_edge_inventory, q03_documents_containing, q04_driver_functions, q05_peripherals, q06_boards, q07_board_support, q08_function_usage, q09_document_descriptions, q10_call_graph,
-    t1_uart_functions, t2_edges_at_uart, t3_documents, t4_requirements, t5_and_or_filter, t6_call_paths, t6_shortest, t7_include_cycles, t7_call_cycles, d1_node_to_binding, d2_unwound_labels, r1_converging, r2_two_hops, g03_callers, g06_subtree,
+    t1_uart_functions, t2_edges_at_uart, t3_documents, t4_requirements, t5_and_or_filter, t6_call_paths, t6_shortest, t7_include_cycles, t7_call_cycles, g01_call_trails, g01_shortest_trails, g02_include_cycles, g02_call_cycles, d1_node_to_binding, d2_unwound_labels, r1_converging, r2_two_hops, g03_callers, g06_subtree,
     a01_best_entities, a02_last_relations, a03_surest_relations, a04_degree, a05_isolated, a06_type_distribution, a08_completeness, a09_label_sets, a10_schema_nodes, a11_confidence_histogram, a12_cross_links, a15_totals, a16_distinct_labels, a18_collect, a19_merged_edges,
     o03_top_central, j08_stub_options, j11_skipped_ends, j12_has_chunk, proj_node_rows, v09_route, v09_versions, sweep_stubs, sweep_unsure, sweep_degree_zero, sweep_long_uncommented, g05_communities, g05_pagerank,
 )}
@@ -314,6 +332,7 @@ walk(s, o, chain, trail, depth) AS (
 SELECT chain, depth FROM walk WHERE depth >= {least} AND {last}"""
 
 
+_ENDS = ("s IN (SELECT uid FROM nodes WHERE label = 'Function' AND starts_with(name, 'adc_arm'))", "o IN (SELECT uid FROM nodes WHERE label = 'Function' AND name = 'log_emit')")
 _PATHS = _walk("CALLS", 1, 3, "s IN (SELECT uid FROM nodes WHERE label = 'Function' AND starts_with(name, 'adc_arm'))", "o IN (SELECT uid FROM nodes WHERE label = 'Function' AND name = 'log_emit')")
 SQL = {
     "q01_node_inventory": f"{WITH} SELECT label AS labels, count(*) AS count FROM nodes GROUP BY 1",
@@ -400,3 +419,5 @@ SELECT chain, depth FROM walk WHERE depth >= {least} AND {last}"""
 
 
 SQL |= {"g01_event_paths": _event_walk(1, 3, "s = 'signup'", "o = 'purchase'"), "g02_event_cycles": _event_walk(2, 3, "true", "s = o")}
+SQL |= {"g01_call_trails": _walk("CALLS", 1, 10, *_ENDS), "g01_shortest_trails": _walk("CALLS", 1, 10, *_ENDS) + " ORDER BY depth, chain LIMIT 5"}
+SQL |= {"g02_include_cycles": _walk("INCLUDES", 2, 5, "true", "s = o"), "g02_call_cycles": _walk("CALLS", 2, 5, "true", "s = o")}
