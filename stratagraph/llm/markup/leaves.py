@@ -7,6 +7,7 @@ import zlib
 from functools import lru_cache
 
 BUCKETS = 4096
+LONG = 48  # characters of a token from which its line is also read in pieces
 
 # Doxygen commands that may follow @ or \ without braces.
 DOXYGEN = "param|tparam|returns?|retval|brief|details|note|warning|attention|see|sa|since|todo|deprecated|ingroup|defgroup|addtogroup|file|author|date|version|pre|post|invariant|throws?|exception|ref|link|endlink|code|endcode|verbatim|endverbatim|copydoc|name|struct|fn|def|var|enum|anchor|par|short|remarks?|result|internal|cond|endcond|c|p|a|e|b|f\\$|f\\[|f\\]|n|li|arg|kconfig|rst|endrst"
@@ -96,7 +97,7 @@ _RUN = re.compile(r"([=~`*#_\-.+])\1{2,}")
 
 @lru_cache(65536)
 def shape(token: str) -> str:
-    s = _LETTERS.sub("a", token[:48])
+    s = _LETTERS.sub("a", token)
     s = _DIGITS.sub("0", s)
     return _RUN.sub(r"\1\1\1", s)
 
@@ -136,4 +137,15 @@ def _of_line(line: str, path: tuple[str, ...], fresh: bool) -> tuple[int, ...]:
 
 
 def features(text: str) -> list[tuple[int, ...]]:
-    return [_of_line(line[:2000] if len(line) <= 2000 else line, path, fresh) for line, path, fresh in leaves(text)]
+    return [_of_line(line, path, fresh) for line, path, fresh in leaves(text)]
+
+
+def is_long(line: str) -> bool:
+    """Whether signs in it may drown among the features of the rest."""
+    return len(line) > 2000 or any(len(t) > LONG and not t.isalnum() for t in line.split())
+
+
+def pieces(line: str, path: tuple[str, ...], fresh: bool) -> list[tuple[int, ...]]:
+    """Features of a line's overlapping pieces: every run of LONG characters stands whole in one of them."""
+    parts = [line[i : i + 2 * LONG] for i in range(0, max(1, len(line) - LONG), LONG)]
+    return [_of_line(x, path, fresh and not i) for i, x in enumerate(parts) if x.strip()]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import clean, lstm
-from .leaves import features, leaves, without_marks
+from .leaves import features, is_long, leaves, pieces, without_marks
 
 MAX_LEAVES = 512
 MARGIN = 4.0  # log odds by which a leaf must look plain; below that the exact check decides
@@ -34,21 +34,44 @@ def weights() -> dict[str, np.ndarray]:
         return {k: z[k].astype("float32") for k in z.files}
 
 
-def label(texts: list[str], margin: float | None = None) -> list[np.ndarray]:
-    """The label of every leaf of every text."""
+def _classified(sequences: list[list[tuple[int, ...]]], margin: float | None) -> list[np.ndarray]:
     parts, owner = [], []
-    for i, t in enumerate(texts):
-        f = features(t)
+    for i, f in enumerate(sequences):
         for a in range(0, len(f), MAX_LEAVES):
             parts.append(f[a : a + MAX_LEAVES])
             owner.append(i)
     got = lstm.classify(weights(), parts, margin=margin)
-    out: list[list[np.ndarray]] = [[] for _ in texts]
+    out: list[list[np.ndarray]] = [[] for _ in sequences]
     for i, g in zip(owner, got):
         out[i].append(g)
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
+def label(texts: list[str], margin: float | None = None) -> list[np.ndarray]:
+    """The label of every leaf of every text. A long leaf that looks plain is read again in pieces, and is plain only if all of them are."""
+    sequences = [features(t) for t in texts]
+    out = _classified(sequences, margin)
+    again, spans = [], []
+    for i, (t, labels) in enumerate(zip(texts, out)):
+        if not (labels == _TEXT).any() or not is_long(t):  # a text without a long line or token has no long leaf
+            continue
+        rows = leaves(t)
+        if not (cut := [k for k in np.flatnonzero(labels == _TEXT) if is_long(rows[k][0])]):
+            continue
+        sequence, at = [], 0
+        for k in cut:
+            sequence += sequences[i][at:k]
+            spans.append((len(again), len(sequence), len(sequence) + len(p := pieces(*rows[k])), i, k))
+            sequence += p
+            at = k + 1
+        again.append(sequence + sequences[i][at:])
+    got = _classified(again, margin)
+    for n, a, z, i, k in spans:
+        if (marked := got[n][a:z][got[n][a:z] != _TEXT]).size:
+            out[i][k] = marked[0]
+    return out
+
+
 def signs(rows, labels) -> list[str]:
     """Signs of markup in the leaves whose label says markup."""
     found: dict[str, None] = {}
