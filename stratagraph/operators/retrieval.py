@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,37 @@ def dense_search(vectors: DataFrame, query: list[float], k: int, key: str = "vec
     return vectors.select(key, F.round(cosine(F.col(column), q), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def dense_search_all(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", rows: int = 4096) -> DataFrame:
+    """(query_id, key, score): for every query its k nearest vectors by cosine, ties by the key; exact.
+
+    Both sides are cut into blocks of about ``rows``; each pair of blocks is one product of matrices that gives k rows a query.
+    Repeated rows count once per key; rows without a vector, or with one of length zero, have no cosine and no row.
+    """
+    there = lambda df: df.where(F.col(column).isNotNull() & (dot(F.col(column), F.col(column)) > 0)).select(key, column).dropDuplicates([key])
+    v, q = there(vectors), there(queries)
+    blocks = lambda df: max(1, -(-df.count() // rows))
+    nv, nq = blocks(v), blocks(q)
+    mine = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.select(key, column, mine(nv).alias("vb"), each(nq).alias("qb"))
+    q = q.select(key, column, mine(nq).alias("qb"), each(nv).alias("vb"))
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query_id": a[key][:0], key: b[key][:0], "score": np.zeros(0)})
+        unit = lambda x: (m := np.stack(list(x)).astype("float64")) / np.sqrt((m * m).sum(1, keepdims=True))
+        b = b.sort_values(key)
+        score = np.round(unit(a[column]) @ unit(b[column]).T, 6)
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # stable: ties stay in the order of keys
+        n = best.shape[1]
+        return pd.DataFrame({"query_id": np.repeat(a[key].to_numpy(), n), key: b[key].to_numpy()[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+
+    kind = dict(vectors.dtypes)[key]
+    near = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(nearest, f"query_id {kind}, {key} {kind}, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)  # k rows for each block of vectors
+    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("place")
+
+
 def tokens(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, term, tf, size): term frequencies and lengths, counted inside the row."""
     words = F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0))

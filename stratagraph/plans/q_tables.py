@@ -305,6 +305,12 @@ def v01_dense(s, d):
     return retrieval.dense_search(v, list(q.embedding) if q else [0.0], 10)
 
 
+def v01_dense_all(s, d):
+    """Ten neighbours of every vector whose id is divisible by 20, among all vectors."""
+    v = table(s, d, "embeddings")
+    return retrieval.dense_search_all(v, v.where("vec_id % 20 = 0"), 10)
+
+
 def v02_bm25(s, d):
     return retrieval.bm25(table(s, d, "documents").where("text is not null"), "doc_id", "text", "stack trace debugger scheduler", 10)
 
@@ -329,7 +335,7 @@ QUERIES = {f.__name__: f for f in (
     s01_folders, s01_contains, s02_file_entities, s05_language, s06_bucket, s07_sha256, s08_line_count, s11_prefix, s12_whitelist, k01_chunks, k04_line_to_chunk, u01_python, u02_c, u03_kconfig, u04_fragment_sets, u05_devicetree, u06_bindings, u07_rst,
     u08_headings, u08_code_spans, u09_dispatch, u10_requirements, u12_generic_imports, u12_generic_symbols, u14_urls, full_build, j01_includes, j02_file_references, j03_symbols, j04_pick_unique, j07_compatibles, j09_document_roles, j10_satisfies,
     j13_manifest_diff, a21_changed_counts, j14_untouched, j15_merge_unchanged, j16_stale_folders, j17_delete_nodes, so_sets, j18_mentions, j19_requirement_mentions, j20_old_endpoints, o01_total_order, f_scalars, f_json, f_normpath,
-    v01_dense, v02_bm25, v03_fused, v05_metadata_filter, v06_answers,
+    v01_dense, v01_dense_all, v02_bm25, v03_fused, v05_metadata_filter, v06_answers,
 )}
 
 _F = "WITH f AS (SELECT DISTINCT ON (source_file) * FROM source_files)"
@@ -429,6 +435,9 @@ SELECT s, predicate, o, max(confidence) AS confidence FROM j WHERE s IS NOT NULL
     "f_normpath": f"{_F} SELECT source_file, CASE WHEN contains({_PARENT}, '/') THEN regexp_replace({_PARENT}, '/[^/]*$', '') || '/x/y.h' ELSE 'x/y.h' END AS folded FROM f",
     "v01_dense": """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a, list_transform((SELECT e FROM q), lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings)
 SELECT vec_id, round(list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 6) AS score FROM p ORDER BY score DESC, vec_id LIMIT 10""",
+    "v01_dense_all": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings)
+SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.a, q.a) / sqrt(list_dot_product(v.a, v.a) * list_dot_product(q.a, q.a)), 6) AS score FROM v, v q WHERE q.vec_id % 20 = 0
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id) <= 10""",
     "v02_bm25": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS l FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, len(l) AS size, l FROM w WHERE len(l) > 0), s AS (SELECT count(*) AS n, avg(size) AS mean FROM d),
 tf AS (SELECT doc_id, size, t.term, len(list_filter(l, lambda x: x = t.term)) AS tf FROM d, (VALUES ('debugger'), ('scheduler'), ('stack'), ('trace')) t(term)), df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY 1)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM tf JOIN df USING (term), s GROUP BY 1 HAVING sum(tf) > 0 ORDER BY 2 DESC, 1 LIMIT 10""",
