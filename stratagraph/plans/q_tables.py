@@ -249,6 +249,18 @@ def j18_mentions(s, d):
     return legacy.mentions(_files(s, d).where("content is not null and source_file like '%.rst'"), n)
 
 
+DOCUMENT_FILE = r"\.(rst|md|markdown|txt|wiki|html|tex|adoc|xml)$"
+
+
+def j18_all_mentions(s, d):
+    """Names of functions and classes in all document files and in the corpus."""
+    n = entities(s, d).where("entity_type in ('Function', 'Class')").select("name")
+    f = _files(s, d).where(F.col("content").isNotNull() & F.lower("source_file").rlike(DOCUMENT_FILE)).select(F.lit("source_files").alias("tab"), F.col("source_file").alias("id"), "content")
+    t = table(s, d, "documents").where("text is not null").select(F.lit("documents").alias("tab"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
+    both = f.unionByName(t).select(F.struct("tab", "id").alias("key"), "content")
+    return legacy.mentions(both, n, "key").select("key.tab", "key.id", "name")
+
+
 def j19_requirement_mentions(s, d):
     e = entities(s, d)
     r = e.where("entity_type = 'Requirement'").select("uid", F.coalesce("description", "name").alias("description")).distinct()
@@ -334,7 +346,7 @@ def v06_answers(s, d):
 QUERIES = {f.__name__: f for f in (
     s01_folders, s01_contains, s02_file_entities, s05_language, s06_bucket, s07_sha256, s08_line_count, s11_prefix, s12_whitelist, k01_chunks, k04_line_to_chunk, u01_python, u02_c, u03_kconfig, u04_fragment_sets, u05_devicetree, u06_bindings, u07_rst,
     u08_headings, u08_code_spans, u09_dispatch, u10_requirements, u12_generic_imports, u12_generic_symbols, u14_urls, full_build, j01_includes, j02_file_references, j03_symbols, j04_pick_unique, j07_compatibles, j09_document_roles, j10_satisfies,
-    j13_manifest_diff, a21_changed_counts, j14_untouched, j15_merge_unchanged, j16_stale_folders, j17_delete_nodes, so_sets, j18_mentions, j19_requirement_mentions, j20_old_endpoints, o01_total_order, f_scalars, f_json, f_normpath,
+    j13_manifest_diff, a21_changed_counts, j14_untouched, j15_merge_unchanged, j16_stale_folders, j17_delete_nodes, so_sets, j18_mentions, j18_all_mentions, j19_requirement_mentions, j20_old_endpoints, o01_total_order, f_scalars, f_json, f_normpath,
     v01_dense, v01_dense_all, v02_bm25, v03_fused, v05_metadata_filter, v06_answers,
 )}
 
@@ -421,6 +433,10 @@ SELECT * FROM n UNION ALL SELECT * FROM e WHERE source_file NOT IN (SELECT sourc
     "j17_delete_nodes": f"{_SNAP_G}, n AS (SELECT * FROM nodes WHERE file IS NULL OR file NOT IN (SELECT source_file FROM gone)) SELECT 'nodes' AS what, count(*) AS \"left\" FROM n UNION ALL SELECT 'edges', count(*) FROM edges WHERE s IN (SELECT uid FROM n) AND o IN (SELECT uid FROM n)",
     "so_sets": f"{_SNAP} SELECT 'union' AS op, count(*) AS n FROM (SELECT source_file FROM old UNION SELECT source_file FROM new) UNION ALL SELECT 'difference', count(*) FROM (SELECT source_file FROM old EXCEPT SELECT source_file FROM new) UNION ALL SELECT 'intersection', count(*) FROM (SELECT source_file FROM old INTERSECT SELECT source_file FROM new)",
     "j18_mentions": f"{WITH}, f AS (SELECT DISTINCT ON (source_file) * FROM source_files), w AS (SELECT DISTINCT source_file, lower(unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM f WHERE content IS NOT NULL AND source_file LIKE '%.rst') SELECT source_file, name FROM w WHERE name IN (SELECT lower(name) FROM ents WHERE entity_type IN ('Function', 'Class') AND uid IS NOT NULL)",
+    "j18_all_mentions": f"""{WITH}, f AS (SELECT DISTINCT ON (source_file) * FROM source_files), t AS (SELECT 'source_files' AS tab, source_file AS id, content FROM f WHERE content IS NOT NULL AND regexp_matches(lower(source_file), '\\.(rst|md|markdown|txt|wiki|html|tex|adoc|xml)$')
+UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR), text FROM documents WHERE text IS NOT NULL),
+w AS (SELECT DISTINCT tab, id, lower(unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM t)
+SELECT tab, id, name FROM w WHERE name IN (SELECT lower(name) FROM ents WHERE entity_type IN ('Function', 'Class') AND uid IS NOT NULL)""",
     "j19_requirement_mentions": f"""{WITH}, q AS (SELECT DISTINCT lower(x) AS name FROM (SELECT unnest(string_split(name, '_')) AS x FROM ents WHERE entity_type = 'Function' AND uid IS NOT NULL) WHERE length(x) > 3),
 w AS (SELECT DISTINCT uid, lower(unnest(regexp_extract_all(coalesce(description, name), '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM ents WHERE entity_type = 'Requirement' AND uid IS NOT NULL)
 SELECT uid AS requirement, name, CAST(0.7 AS DOUBLE) AS confidence FROM w WHERE name IN (SELECT name FROM q)""",
