@@ -192,6 +192,18 @@ def j09_document_roles(s, d):
     return pick_unique(rows, symbol_table(entities(s, d))).select("source_file", "role", "target", "status", "target_uid")
 
 
+def j09_all_roles(s, d):
+    """References of reST and Markdown documents by every kind of role, code spans included; target_uid is null where nothing or several fit."""
+    f = _typed(s, d)
+    rows = extract(f.where("content is not null and language in ('rst', 'markdown')")).where("rec = 'pending'")
+    e = entities(s, d)
+    found, missing = resolve.resolve_docs(rows.select("pend_kind", "subject", "target", "source_file", "line", "role"), symbol_table(e), e, f)
+    none = F.lit(None).cast("string")
+    got = found.select("source_file", "line", "role", none.alias("target"), F.col("object").alias("target_uid"))
+    lost = missing.select("source_file", F.col("line_number").alias("line"), F.regexp_extract("reason", "role (.+)$", 1).alias("role"), F.col("entity_name").alias("target"), none.alias("target_uid"))
+    return got.unionByName(lost).distinct()
+
+
 def j10_satisfies(s, d):
     """Requirements and the edges recorded near them: range join inside a file."""
     w = entities(s, d).where("entity_type = 'Requirement'").select(F.col("uid").alias("subject"), "source_file", (F.col("line_start") - 2).alias("win_start"), (F.col("line_end") + 2).alias("win_end")).distinct()
@@ -345,7 +357,7 @@ def v06_answers(s, d):
 
 QUERIES = {f.__name__: f for f in (
     s01_folders, s01_contains, s02_file_entities, s05_language, s06_bucket, s07_sha256, s08_line_count, s11_prefix, s12_whitelist, k01_chunks, k04_line_to_chunk, u01_python, u02_c, u03_kconfig, u04_fragment_sets, u05_devicetree, u06_bindings, u07_rst,
-    u08_headings, u08_code_spans, u09_dispatch, u10_requirements, u12_generic_imports, u12_generic_symbols, u14_urls, full_build, j01_includes, j02_file_references, j03_symbols, j04_pick_unique, j07_compatibles, j09_document_roles, j10_satisfies,
+    u08_headings, u08_code_spans, u09_dispatch, u10_requirements, u12_generic_imports, u12_generic_symbols, u14_urls, full_build, j01_includes, j02_file_references, j03_symbols, j04_pick_unique, j07_compatibles, j09_document_roles, j09_all_roles, j10_satisfies,
     j13_manifest_diff, a21_changed_counts, j14_untouched, j15_merge_unchanged, j16_stale_folders, j17_delete_nodes, so_sets, j18_mentions, j18_all_mentions, j19_requirement_mentions, j20_old_endpoints, o01_total_order, f_scalars, f_json, f_normpath,
     v01_dense, v01_dense_all, v02_bm25, v03_fused, v05_metadata_filter, v06_answers,
 )}
