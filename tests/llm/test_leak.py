@@ -23,7 +23,7 @@ def test_against_brute_force(spark):
     got = leak.find_leaks(d, i)
     rows = got.collect()
     assert {(r.doc_id, r.item_id) for r in rows} == brute([(a, b) for a, b, _ in docs], [(a, c) for a, _, c in items], 12)
-    assert len(rows) == len({(r.doc_id, r.item_id) for r in rows})
+    assert len(rows) == len({(r.doc_id, r.item_id, r.first_char, r.last_char) for r in rows})
     five = next(r for r in rows if r.doc_id == 5 and r.item_id == 1)
     assert docs[4][1][five.first_char : five.last_char] == TEXT[:-1]
     rep = {r.benchmark: (r["items"], r.leaked_items) for r in leak.leaked_items(got, i).collect()}
@@ -45,3 +45,13 @@ def test_answers_mark_leaks_and_make_none(spark):
     i = spark.createDataFrame([(1, TEXT, "Forty-two!"), (2, TEXT, "blue"), (3, "short", "nothing else")], "item_id long, item_text string, answer string")
     d = spark.createDataFrame([(1, TEXT + " It is forty two."), (2, TEXT), (3, "forty two nothing else " * 9)], "doc_id long, text string")
     assert {(r.doc_id, r.item_id, r.with_answer) for r in leak.find_leaks(d, i).collect()} == {(1, 1, True), (1, 2, False), (2, 1, False), (2, 2, False)}
+
+
+def test_two_passages_of_an_item_are_two_spans(spark):
+    words = [f"w{i}" for i in range(40)]
+    text = " ".join(words[:13]) + " " + "other words " * 40 + " ".join(words[20:34]) + "."
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    i = spark.createDataFrame([(7, " ".join(words))], "item_id long, item_text string")
+    got = sorted(leak.find_leaks(d, i).collect(), key=lambda r: r.first_char)
+    assert [text[r.first_char : r.last_char].split() for r in got] == [words[:13], words[20:34]]
+    assert [r.words for r in got] == [13, 14]
