@@ -65,12 +65,19 @@ class Finder:
             ids = tuple(self.number.setdefault(w, len(self.number) + 1) for w in key)
             self.automaton.add_word(ids, (found.get(key, ()), replies.get(key, ())))
         self.empty = not found
+        self.anchors = None
         if not self.empty:
             self.automaton.make_automaton()
+            longest = [max((w for w in run if w.isascii()), key=len, default="") for run in found]
+            if all(longest):  # a text without the longest word of any run has no run
+                self.anchors = ahocorasick.Automaton()
+                for w in longest:
+                    self.anchors.add_word(w, True)
+                self.anchors.make_automaton()
 
     def passages(self, text: str) -> tuple[list[tuple[int, int, int]], set[int]]:
         """((item, first word, word behind the last) of every passage, items whose answer is in the text)."""
-        if self.empty:
+        if self.empty or (self.anchors is not None and next(self.anchors.iter(text.lower()), None) is None):
             return [], set()
         w = normal_words(text)
         if len(w) < self.words:
