@@ -3,7 +3,8 @@
 ``check_files`` judges every file by table-driven parsers for the language its path stands for. Results:
 a null content, a path of another kind, or a null path gives no row; an empty text is a sentence of C, Python
 and fragments and not of JSON and devicetree; redelivered rows give one row per (file_id, source_file);
-very long texts are parsed whole.
+very long texts are parsed whole. Only the bundled tables decide; every branch of a C or devicetree conditional that some
+setting of its switches reaches is parsed. The error's text is its whole line.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 line = text.count("\n", 0, at) + 1
                 begin = text.rfind("\n", 0, at) + 1
                 end = text.find("\n", at)
-                rows.append((file_id, path, repo, language, line, text[begin : end if end >= 0 else len(text)][:200]))
+                rows.append((file_id, path, repo, language, line, text[begin : end if end >= 0 else len(text)]))
         out = pd.DataFrame(rows, columns=["file_id", "source_file", "repo", "language", "error_line", "error_text"])
         yield out.astype({"file_id": "Int64", "error_line": "Int32"})
 

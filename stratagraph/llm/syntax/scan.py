@@ -144,42 +144,121 @@ def _blank(m: re.Match) -> str:
     return re.sub(r"[^\n]", " ", s)
 
 
-def _holds(test: str, known: dict[str, bool]) -> bool:
-    """Truth of an #if expression; a name without a known value is looked up as a free switch."""
-    out, atoms = [], set()
-    for m in _ATOM.finditer(test):
-        w = m[0]
-        if name := m[1] or m[2]:
-            atoms.add(name)
-            out.append(f" v({name!r}) ")
-        elif w == "&&":
-            out.append(" and ")
-        elif w == "||":
-            out.append(" or ")
-        elif w == "!":
-            out.append(" not ")
-        elif w[0].isdigit():
-            out.append(str(int(w.rstrip("uUlL"), 16 if w[:2] in ("0x", "0X") else 10)))
+_RELATES = frozenset("== != < > <= >= << >> + - * / % & | ^ ~".split())
+_NUMBER = re.compile(r"(0[xX][\da-fA-F]+|0[bB][01]+|\d+)[uUlL]*")
+
+
+@lru_cache(1 << 14)
+def _condition(test: str):
+    """An #if expression as a tree of and, or, not over switches: ("is", name), ("rel", text, words) or a constant."""
+    words = [m[0] if not (m[1] or m[2]) else "\0" + (m[1] or m[2]) for m in _ATOM.finditer(test)]
+    at = 0
+
+    def either(level: int):
+        nonlocal at
+        op, name = (("||", "or"), ("&&", "and"))[level]
+        left = either(1) if level == 0 else operand()
+        while at < len(words) and words[at] == op:
+            at += 1
+            left = (name, left, either(1) if level == 0 else operand())
+        return left
+
+    def operand():
+        nonlocal at
+        begin = at
+        tree = single()
+        if at < len(words) and words[at] in _RELATES:
+            depth = 0
+            while at < len(words) and (depth or words[at] not in ("&&", "||", ")")):
+                depth += (words[at] == "(") - (words[at] == ")")
+                at += 1
+            return ("rel", " ".join(words[begin:at]), tuple(words[begin:at]))
+        return tree
+
+    def single():
+        nonlocal at
+        w = words[at]
+        at += 1
+        if w == "!":
+            return ("not", single())
+        if w == "(":
+            tree = either(0)
+            if words[at] != ")":
+                raise ValueError(test)
+            at += 1
+            return tree
+        if m := _NUMBER.fullmatch(w):
+            return int(m[1], 0 if m[1][:2] in ("0x", "0X", "0b", "0B") else 10) != 0
+        if w[0] == "\0" or w[0].isalpha() or w[0] == "_":
+            return ("is", re.sub(r"[\s\0]", "", w))
+        if w in ("-", "+", "~"):
+            single()
+            return ("rel", test, ())
+        raise ValueError(test)
+
+    try:
+        tree = either(0)
+        if at < len(words):
+            raise ValueError(test)
+        return tree
+    except (ValueError, IndexError):
+        return ("is", test)  # what cannot be read is one switch
+
+
+def _holds(tree, value):
+    """Truth of a condition, or None; value(switch) gives True, False, a number, or None where it is open."""
+    if isinstance(tree, bool):
+        return tree
+    kind = tree[0]
+    if kind == "is":
+        v = value(tree[1])
+        return None if v is None else bool(v)
+    if kind == "not":
+        v = _holds(tree[1], value)
+        return None if v is None else not v
+    if kind == "rel":
+        v = _number(tree[2], value)
+        if v is None:
+            v = value(tree[1])
+        return None if v is None else bool(v)
+    a, b = _holds(tree[1], value), _holds(tree[2], value)
+    if kind == "and":
+        return False if a is False or b is False else None if a is None or b is None else True
+    return True if a or b else None if a is None or b is None else False
+
+
+def _number(words, value):
+    """Value of a relation between numbers and names that stand for numbers, or None."""
+    out = []
+    for w in words:
+        if m := _NUMBER.fullmatch(w):
+            out.append(str(int(m[1], 0 if m[1][:2] in ("0x", "0X", "0b", "0B") else 10)))
         elif w[0].isalpha() or w[0] == "_":
-            out.append(f" v({re.sub(r'\\s', '', w)!r}) ")
-        elif w in "?:":
-            return bool(known.get(test, False))
-        elif w == "/":
-            out.append("//")
+            v = value(w)
+            if v is None or isinstance(v, bool):
+                return None
+            out.append(f"({v})")
+        elif w in _RELATES or w in "()":
+            out.append("//" if w == "/" else w)
         else:
-            out.append(f" {w} ")
+            return None
     try:
-        return bool(eval("".join(out), {"__builtins__": {}}, {"v": lambda n: known.get(n, False)}))
+        return eval(" ".join(out), {"__builtins__": {}}) if out else None  # numbers and signs only
     except Exception:
-        return bool(known.get(test, False))
+        return None
+
+
+def _switches(tree) -> list[str]:
+    if isinstance(tree, bool):
+        return []
+    return [tree[1]] if tree[0] in ("is", "rel") else [x for t in tree[1:] for x in _switches(t)]
 
 
 class _Branches:
-    """Tree of conditional groups: a list of token runs and groups, a group a list of (directive, test, body)."""
+    """Tree of conditional groups: a list of token runs and groups, a group a list of branches (condition or None for else, body)."""
 
     def __init__(self):
         self.top: list = []
-        self.names: dict[str, None] = {}
         self.errors: list[int] = []
 
 
@@ -200,22 +279,22 @@ def _tree(text: str, scan, hash_names: bool = False):
             stack.append((body, group))
             body.append(group)
             body = []
-            group.append((word, rest.strip(), body))
+            group.append((_test(word, rest), body))
             if not rest.strip():
                 b.errors.append(m.start())
         elif word in ("elif", "elifdef", "elifndef", "else"):
-            if not stack or stack[-1][1][-1][0] == "else":
+            if not stack or stack[-1][1][-1][0] is None:
                 b.errors.append(m.start())
                 continue
             body = []
-            stack[-1][1].append((word, rest.strip(), body))
+            stack[-1][1].append((_test(word, rest), body))
         elif word == "endif":
             if not stack:
                 b.errors.append(m.start())
                 continue
             body = stack.pop()[0]
         elif word in ("define", "undef") and re.match(r"\s*[A-Za-z_]\w*", rest):
-            body.append((word, rest.split("(")[0].split()[0]))
+            body.append((word, re.match(r"\s*(\w+)", rest)[1], _value(rest) if word == "define" else False))
         elif word == "include" and re.match(r'\s*(?:<[^>\n]+>|"[^"\n]+"|[A-Za-z_]\w*)', rest):
             pass
         elif (word == "" and not rest.strip()) or word in _DIRECTIVES - {"define", "undef", "include"} or word.isdigit():
@@ -229,36 +308,94 @@ def _tree(text: str, scan, hash_names: bool = False):
     return b
 
 
-def _choose(items, known: dict[str, bool], out: list, free: dict[str, None]):
+def _test(word: str, rest: str):
+    """The condition of a branch; None for else."""
+    if word == "else":
+        return None
+    if word in ("if", "elif"):
+        return _condition(rest.strip())
+    is_set = ("is", rest.split()[0] if rest.split() else "")
+    return ("not", is_set) if "nd" in word else is_set
+
+
+def _value(rest: str):
+    """What a macro stands for in conditions: a number, or True for anything else."""
+    m = re.fullmatch(r"\s*\w+[ \t]+\(?\s*" + _NUMBER.pattern + r"\s*\)?\s*", rest)
+    return int(m[1], 0 if m[1][:2] in ("0x", "0X", "0b", "0B") else 10) if m else True
+
+
+# Macros that are not set where C is compiled as C.
+_UNSET = {"__cplusplus": False, "__ASSEMBLER__": False, "_ASMLANGUAGE": False}
+
+
+def _read(items, known: dict, asked: dict[str, bool], default: bool, out: list, met: set[int]) -> None:
+    """Follows the branches that hold. known: macros of the file itself; asked: switches set for this reading."""
+
+    def value(name):
+        if name in known:
+            return known[name]
+        return asked.get(name, default)
+
     for x in items:
         if isinstance(x, tuple):
-            if isinstance(x[0], str):  # define or undef
-                if known.get(x[1]) is None or x[1] not in free:
-                    known[x[1]] = x[0] == "define"
+            if isinstance(x[0], str):
+                known[x[1]] = x[2]
             else:
                 out.append(x)
             continue
-        for word, test, body in x:
-            if word == "else":
-                holds = True
-            elif word in ("ifdef", "elifdef", "ifndef", "elifndef"):
-                name = test.split()[0] if test else ""
-                if name not in known:
-                    free[name] = None
-                holds = known.get(name, False) ^ ("nd" in word)
-            else:
-                for m in _ATOM.finditer(test):
-                    n = m[1] or m[2] or (m[0] if m[0][0].isalpha() or m[0][0] == "_" else "")
-                    if n and n not in known:
-                        free[n] = None
-                holds = _holds(test, known)
-            if holds:
-                _choose(body, known, out, free)
+        for test, body in x:
+            if test is None or _holds(test, value):
+                met.add(id(body))
+                _read(body, known, asked, default, out, met)
                 break
 
 
+def _paths(items, above=()):
+    """(branch, conditions of it and of all around it) of every branch."""
+    for x in items:
+        if isinstance(x, list):
+            before = above
+            for test, body in x:
+                own = before if test is None else (*before, (test, True))
+                yield body, own
+                yield from _paths(body, own)
+                if test is not None:
+                    before = (*before, (test, False))
+
+
+def _solve(wanted, default: bool) -> dict[str, bool] | None:
+    """Switches under which all conditions are as wanted, or None if there are none; default is tried first."""
+    names = list(dict.fromkeys(n for t, _ in wanted for n in _switches(t) if n not in _UNSET))
+    chosen: dict[str, bool] = dict(_UNSET)
+
+    def go(i: int) -> bool:
+        open_ = False
+        for t, want in wanted:
+            v = _holds(t, chosen.get)
+            if v is None:
+                open_ = True
+            elif v != want:
+                return False
+        if not open_:
+            return True
+        if i == len(names):
+            return False
+        for v in (default, not default):
+            chosen[names[i]] = v
+            if go(i + 1):
+                return True
+        del chosen[names[i]]
+        return False
+
+    return chosen if go(0) else None
+
+
 def readings(text: str, scan, hash_names: bool = False):
-    """The token runs a compiler may see: unknown switches all off, all on, and each one alone on or off."""
+    """The token runs a compiler may see, so that every branch that can be read is in one of them.
+
+    Unknown switches (names, and relations between names and numbers) are all off, then all on; for each branch that
+    is in neither, switches are sought that make its conditions hold, the others off, or on where that does not do.
+    """
     text = text.replace("\r\n", "\n")
     if "/" in text:
         text = _COMMENT.sub(_blank, text)
@@ -269,51 +406,29 @@ def readings(text: str, scan, hash_names: bool = False):
     if b.errors:
         yield ([BAD], [min(b.errors)]), text
         return
-    fixed = {"__cplusplus": False, "__ASSEMBLER__": False, "_ASMLANGUAGE": False}
-    seen = set()
+    seen: set = set()
+    read: set[int] = set()
 
-    def run(on: set[str], default: bool):
-        free: dict[str, None] = {}
-        known = _Switches(fixed, on, default)
+    def run(asked: dict[str, bool], default: bool, target=None):
         out: list = []
-        _choose(b.top, known, out, free)
-        return out, free
-
-    out, names = run(set(), False)
-    plans = [out]
-    todo = list(names)
-    done: dict[str, None] = dict(names)
-    if done:
-        plans.append(run(set(), True)[0])
-    while todo:
-        n = todo.pop()
-        for on, default in (({n}, False), ({n}, True)):
-            got, more = run(on, default)
-            plans.append(got)
-            for k in more:
-                if k not in done:
-                    done[k] = None
-                    todo.append(k)
-    for out in plans:
-        key = tuple(id(x) for x in out)
-        if key not in seen:
-            seen.add(key)
-            yield ([*chain.from_iterable(x[0] for x in out)], [*chain.from_iterable(x[1] for x in out)]), text
-
-
-class _Switches(dict):
-    """Known macros, and a value for every other one: default, but the opposite for those named."""
-
-    def __init__(self, fixed, flipped, default):
-        super().__init__(fixed)
-        self.flipped, self.default = flipped, default
-
-    def get(self, name, other=None):
-        if name in self:
-            return self[name]
-        if other is None:
+        met: set[int] = set()
+        _read(b.top, dict(_UNSET), asked, default, out, met)
+        if target is not None and id(target) not in met:
+            return None
+        read.update(met)
+        key = tuple(map(id, out))
+        if key in seen:
             return None
-        return self.default ^ (name in self.flipped)
+        seen.add(key)
+        return ([*chain.from_iterable(x[0] for x in out)], [*chain.from_iterable(x[1] for x in out)]), text
+
+    yield run({}, False)
+    if (on := run({}, True)) is not None:
+        yield on
+    for body, wanted in _paths(b.top):
+        for default in (False, True):
+            if id(body) not in read and (asked := _solve(wanted, default)) is not None and (got := run(asked, default, body)) is not None:
+                yield got
 
 
 # ---------------------------------------------------------------- C
@@ -500,7 +615,11 @@ def _fstring(text: str, pos: int, quote: str, raw: bool) -> int:
         if text.startswith(quote, pos):
             return pos + len(quote)
         if ch == "\\":
-            pos += 2
+            if not raw and text.startswith("N{", pos + 1):
+                end = text.find("}", pos)
+                pos = end + 1 if end >= 0 else n
+            else:  # a brace is never escaped by it
+                pos += 1 if text[pos + 1 : pos + 2] in ("{", "}") else 2
         elif ch in "\r\n" and len(quote) == 1:
             return -1
         elif ch == "{":
@@ -524,7 +643,11 @@ def _field(text: str, pos: int, quote: str, raw: bool) -> int:
     begin, depth, n = pos, 0, len(text)
     while pos < n:
         ch = text[pos]
-        if ch in "([{":
+        if ch == "#":
+            pos = text.find("\n", pos) if len(quote) == 3 else -1
+            if pos < 0:
+                return -1
+        elif ch in "([{":
             depth += 1
         elif ch in ")]" or (ch == "}" and depth):
             depth -= 1
