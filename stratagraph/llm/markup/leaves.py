@@ -42,16 +42,20 @@ _FENCE = re.compile(r"\s{0,3}(`{3,}|~{3,})(.*)$")
 
 
 def leaves(text: str) -> list[tuple[str, tuple[str, ...], bool]]:
-    """(line, path before it, whether a blank line or the start of the text is before it)."""
+    """(line, path before it, whether a blank line or the start of the text is before it). A path has each name once, outermost first."""
     out = []
     path: list[str] = []
     fence = ""
     fresh = True
+    around: tuple[str, ...] = ()
+    known = -1
     for line in text.split("\n"):
         if not line.strip():
             fresh = True
             continue
-        out.append((line, tuple(path[-4:]), fresh))
+        if known != len(path) or path and around[-1:] != (path[-1],):
+            around, known = tuple(dict.fromkeys(path)), len(path)
+        out.append((line, around, fresh))
         fresh = False
         m = _FENCE.match(line)
         if m and (not fence or (m[1][0] == fence[0] and len(m[1]) >= len(fence) and not m[2].strip())):
@@ -121,7 +125,7 @@ def _of_token(token: str) -> tuple[int, ...]:
 @lru_cache(65536)
 def _of_line(line: str, path: tuple[str, ...], fresh: bool) -> tuple[int, ...]:
     tokens = line.split()
-    ids = [bucket("P:" + p) for p in path] + [bucket("D:" + str(len(path)))]
+    ids = [bucket("P:" + p) for p in path] + [bucket("D:" + str(min(len(path), 4)))]
     first = shape(tokens[0])
     ids += [bucket("F:" + first), bucket("L:" + shape(tokens[-1])), bucket("fresh" if fresh else "inside"), bucket("n:" + str(min(len(tokens), 8)))]
     if line[0] in " \t":

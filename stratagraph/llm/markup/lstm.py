@@ -82,23 +82,29 @@ def scores(p, sequences) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([f, b, x], 2) @ p["V"] + p["C"])[mask], mask
 
 
-def classify(p, sequences: list[list[tuple[int, ...]]], rows: int = 512, margin: float | None = None) -> list[np.ndarray]:
-    """The label of every leaf of every sequence. Sequences of like length run together.
+CELLS = 1 << 17
 
-    With a margin, plain text (label 0) counts only where it leads by that much; else the best other label is given.
-    """
+
+def _groups(sequences, rows: int):
+    """Sequences of like length, at most ``rows`` of them and about CELLS leaves with their padding; a longer one is alone."""
     order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-    out: list = [None] * len(sequences)
-    for a in range(0, len(order), rows):
-        part = [i for i in order[a : a + rows] if sequences[i]]
-        for i in order[a : a + rows]:
-            if not sequences[i]:
-                out[i] = np.zeros(0, np.int64)
+    part: list[int] = []
+    for i in order:
+        if part and (len(part) == rows or (len(part) + 1) * len(sequences[i]) > CELLS):
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
+
+
+def classify(p, sequences: list[list[tuple[int, ...]]], rows: int = 512) -> list[np.ndarray]:
+    """The most likely label of every leaf of every sequence. Sequences of like length run together."""
+    out: list = [np.zeros(0, np.int64)] * len(sequences)
+    for group in _groups(sequences, rows):
+        part = [i for i in group if sequences[i]]
         if part:
-            z = scores(p, [sequences[i] for i in part])[0]
-            if margin is not None:
-                z[:, 0] -= margin
-            best = z.argmax(1)
+            best = scores(p, [sequences[i] for i in part])[0].argmax(1)
             at = 0
             for i in part:
                 out[i] = best[at : at + len(sequences[i])]

@@ -5,7 +5,7 @@ hashed shapes of words, with the whole text as context; clean text and blocks fo
 if a leaf has a label of markup and an exact check finds the sign of it.
 
 Defined results: null and blank texts, and texts without an id, are no case; repeated rows count once per id; texts are read
-whole, whatever their length (a sequence is cut into runs of ``MAX_LEAVES`` leaves with nothing left out).
+whole, as one sequence of leaves, whatever their length.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from . import clean, lstm
 from .leaves import features, is_long, leaves, pieces, without_marks
 
-MAX_LEAVES = 512
-MARGIN = 4.0  # log odds by which a leaf must look plain; below that the exact check decides
 CLEANED = "tab string, row_id long, marked boolean, signs array<string>, text string, blocks array<struct<kind: string, text: string>>"
 _TEXT = clean.NAMES["text"]
 
@@ -34,23 +32,10 @@ def weights() -> dict[str, np.ndarray]:
         return {k: z[k].astype("float32") for k in z.files}
 
 
-def _classified(sequences: list[list[tuple[int, ...]]], margin: float | None) -> list[np.ndarray]:
-    parts, owner = [], []
-    for i, f in enumerate(sequences):
-        for a in range(0, len(f), MAX_LEAVES):
-            parts.append(f[a : a + MAX_LEAVES])
-            owner.append(i)
-    got = lstm.classify(weights(), parts, margin=margin)
-    out: list[list[np.ndarray]] = [[] for _ in sequences]
-    for i, g in zip(owner, got):
-        out[i].append(g)
-    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-
-
-def label(texts: list[str], margin: float | None = None) -> list[np.ndarray]:
-    """The label of every leaf of every text. A long leaf that looks plain is read again in pieces, and is plain only if all of them are."""
+def label(texts: list[str]) -> list[np.ndarray]:
+    """The most likely label of every leaf of every text. A long leaf that looks plain is read again in pieces, and is plain only if all of them are."""
     sequences = [features(t) for t in texts]
-    out = _classified(sequences, margin)
+    out = lstm.classify(weights(), sequences)
     again, spans = [], []
     for i, (t, labels) in enumerate(zip(texts, out)):
         if not (labels == _TEXT).any() or not is_long(t):  # a text without a long line or token has no long leaf
@@ -65,7 +50,7 @@ def label(texts: list[str], margin: float | None = None) -> list[np.ndarray]:
             sequence += p
             at = k + 1
         again.append(sequence + sequences[i][at:])
-    got = _classified(again, margin)
+    got = lstm.classify(weights(), again)
     for n, a, z, i, k in spans:
         if (marked := got[n][a:z][got[n][a:z] != _TEXT]).size:
             out[i][k] = marked[0]
@@ -99,7 +84,7 @@ def _run(render: bool):
         for batch in batches:
             texts = [without_marks(t, m) if tab == "entities" else t.replace("\r\n", "\n").replace("\r", "\n") for tab, m, t in zip(batch["tab"], batch["method"], batch["text"])]
             out = []
-            for tab, row, text, labels in zip(batch["tab"], batch["row_id"], texts, label(texts, MARGIN)):
+            for tab, row, text, labels in zip(batch["tab"], batch["row_id"], texts, label(texts)):
                 if not render and not (labels != _TEXT).any():
                     continue
                 rows = leaves(text)

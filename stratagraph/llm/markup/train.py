@@ -96,6 +96,8 @@ class Maker:
             return [(r.choice([s(1, 3), s(1, 3) + ":", w().capitalize() + "-" + w() + " " + w(), self.num() + " " + s(1, 3), r.choice("?-") , "...", "N/A", f"-- {s(2, 4)}", f"TODO: {s()}", f"({s(1, 3)})", f"{w()}()", "0123456789abcdef" * r.randint(2, 40), "x" * r.randint(10, 90)]), T)]
         if k < 0.38:
             return [(f"    {self.sentence()}", T)] if r.random() < 0.5 else [(f" * {self.sentence()}".replace(" * ", "  "), T)]
+        if k < 0.395:  # a strong word in front of a sentence with names that have underscores
+            return [(f"__{self.words(1, 2).capitalize()}__ {r.choice([self.sentence() + ' ', ''])}{self.w()} {self.ident()} {self.w()} {self.ident()}, {self.words(2, 6)}.", I)]
         if k < 0.50:
             return [(self.with_inline(self.inline), I) for _ in range(r.choice([1, 1, 2]))]
         if k < 0.54:

@@ -5,7 +5,7 @@ from stratagraph.llm.markup import operator as O
 
 
 def marked(text):
-    rows, labels = leaves.leaves(text), O.label([text], O.MARGIN)[0]
+    rows, labels = leaves.leaves(text), O.label([text])[0]
     return bool(O.signs(rows, labels))
 
 
@@ -68,3 +68,24 @@ def test_operator(spark):
     full = {(r.tab, r.row_id): r for r in O.clean_texts(t).collect()}
     assert len(full) == 5 and full[("entities", 1)].text == "x text" and full[("entities", -3)].text == "plain" and not full[("source_chunks", 2)].marked
     assert O.clean_texts(t.limit(0)).count() == 0
+
+
+def test_the_labeller_decides_and_not_the_signs_alone():
+    import random
+
+    maker = train.Maker(random.Random(4321))
+    made = [(t, w) for t, w in (maker.text() for _ in range(1500)) if w and len(leaves.leaves(t)) == len(w)]
+    truth = np.array([any(w) for _, w in made])
+    rows = [leaves.leaves(t) for t, _ in made]
+    signs = np.array([bool(O.signs(r, np.ones(len(r), int))) for r in rows])
+    labels = O.label([t for t, _ in made])
+    alone = np.array([bool((x != 0).any()) for x in labels])
+    both = np.array([bool(O.signs(r, x)) for r, x in zip(rows, labels)])
+    assert (alone != truth).sum() < (signs != truth).sum() and (both != signs).any()
+
+
+def test_a_text_is_one_sequence_however_long():
+    text = "```\n" + "x = 1;\n" * 3000 + "```\nplain words\n" + "<div>\n" * 700 + "end"
+    rows, labels = leaves.leaves(text), O.label([text])[0]
+    assert len(rows) == len(labels) and len({id(p) for _, p, _ in rows}) < 20
+    assert max(len(p) for _, p, _ in rows) == 1

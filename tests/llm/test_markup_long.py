@@ -11,13 +11,13 @@ from stratagraph.llm.markup.leaves import LONG, leaves, pieces, shape
     ("Plain words " + "x_y" * 20 + "&nbsp;and more words.\n", "entity"), ("Text " + "q-" * 30 + "[a](http://b.c) more.\n", "link"), ("plain words, here and " * 400 + "`x` end.\n", "code"),
 ])
 def test_signs_far_into_a_token_or_line(text, sign):
-    labels = operator.label([text], operator.MARGIN)[0]
+    labels = operator.label([text])[0]
     assert operator.signs(leaves(text), labels) == [sign]
 
 
 def test_long_plain_texts_stay_plain():
     text = "See " + "drivers/serial/" * 6 + "uart.c for more of it.\n" + "plain words here " * 200
-    assert operator.signs(leaves(text), operator.label([text], operator.MARGIN)[0]) == []
+    assert operator.signs(leaves(text), operator.label([text])[0]) == []
 
 
 def test_nothing_of_a_line_is_left_out():
