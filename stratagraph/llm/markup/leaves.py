@@ -45,52 +45,63 @@ def leaves(text: str) -> list[tuple[str, tuple[str, ...], bool]]:
     """(line, path before it, whether a blank line or the start of the text is before it). A path has each name once, outermost first."""
     out = []
     path: list[str] = []
+    count: dict[str, int] = {}  # how often each name is open, in the order of opening
+    around: tuple[str, ...] = ()
     fence = ""
     fresh = True
-    around: tuple[str, ...] = ()
-    known = -1
+
+    def enter(name: str) -> None:
+        nonlocal around
+        path.append(name)
+        count[name] = count.get(name, 0) + 1
+        if count[name] == 1:
+            around = (*around, name)
+
+    def leave(name: str) -> None:
+        """Closes the last element of the name, and what is open inside it."""
+        nonlocal around
+        if name not in count:
+            return
+        last = ""
+        while last != name:
+            last = path.pop()
+            count[last] -= 1
+            if not count[last]:
+                del count[last]
+        around = tuple(count)
+
     for line in text.split("\n"):
         if not line.strip():
             fresh = True
             continue
-        if known != len(path) or path and around[-1:] != (path[-1],):
-            around, known = tuple(dict.fromkeys(path)), len(path)
         out.append((line, around, fresh))
         fresh = False
         m = _FENCE.match(line)
         if m and (not fence or (m[1][0] == fence[0] and len(m[1]) >= len(fence) and not m[2].strip())):
             if fence:
-                if "fence" in path:
-                    path.remove("fence")
+                leave("fence")
                 fence = ""
             elif m[1][0] == "~" or "`" not in m[2]:
                 fence = m[1]
-                path.append("fence")
+                enter("fence")
             continue
         if fence:
             continue
         for m in _OPEN.finditer(line):
             token = m[0]
             if m[2]:
-                name = m[2].lower()
-                if m[3]:
-                    continue
-                if not m[1]:
-                    path.append(name)
-                elif name in path:
-                    del path[len(path) - 1 - path[::-1].index(name) :]
+                if not m[3]:
+                    (leave if m[1] else enter)(m[2].lower())
             elif token == "<!--":
-                path.append("comment")
+                enter("comment")
             elif m[4] == "begin":
-                path.append("env:" + m[5])
+                enter("env:" + m[5])
             elif m[6]:
-                path.append("display")
+                enter("display")
             elif m[8]:
-                path.append("wikitable")
+                enter("wikitable")
             else:
-                name = "comment" if token == "-->" else "env:" + m[5] if m[4] else "display" if m[7] else "wikitable"
-                if name in path:
-                    del path[len(path) - 1 - path[::-1].index(name) :]
+                leave("comment" if token == "-->" else "env:" + m[5] if m[4] else "display" if m[7] else "wikitable")
     return out
 
 
