@@ -98,3 +98,22 @@ def test_stream(spark, tmp_path):
 def test_endpoint_reading(spark):
     df = spark.createDataFrame([("\t a\\b ",), (None,)], "s string").select(O.endpoint(F.col("s")).alias("e"))
     assert [r.e for r in df.collect()] == ["a/b", None]
+
+
+def test_two_runs_with_a_saved_state_give_what_one_gives(spark, tmp_path):
+    ents, chunks, rels, _ = world(7)
+    moves, refs = O.changes([spark.createDataFrame(ents, ENT)], spark.createDataFrame(chunks, CH)), O.references(spark.createDataFrame(rels, REL))
+    half = T0 + timedelta(days=4)
+    rows = lambda df: sorted((r.relation_id, r.endpoint) for r in df.collect())
+    empty = O.OrphanState.empty(spark)
+    state, whole, snaps, _ = O.go_on(empty, moves, refs, [(None, None)])
+    first, a, _, _ = O.go_on(empty, moves, refs, [(None, half)])
+    first.save(str(tmp_path / "s"))
+    loaded = O.OrphanState.load(spark, str(tmp_path / "s"))
+    end, b, later, moved = O.go_on(loaded, moves, refs, [(half, None)], start=False)
+    assert sorted(rows(a) + rows(b)) == rows(whole)
+    key = lambda df: {(r.predicate, r.kind, r.pending) for r in df.collect()}
+    assert key(later[-1]) == key(snaps[-1])
+    live = lambda st: {r.uid for r in st.live.where("open > 0").collect()}
+    waits = {r.uid for r in loaded.waiting.collect()}
+    assert {(r.uid, r.what) for r in moved.collect()} == {(u, "resolved") for u in (live(end) - live(loaded)) & waits} | {(u, "reopened") for u in (live(loaded) - live(end)) & waits}
