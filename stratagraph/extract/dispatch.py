@@ -29,8 +29,8 @@ def register_extractor(language: str, extract: Callable[[str, str], Emitter]) ->
     EXTRACTORS[language] = extract
 
 
-def extract_file(path: str, language: str, text: str) -> list[tuple]:
-    handler = EXTRACTORS.get(language)
+def extract_file(path: str, language: str, text: str, extractors: dict | None = None) -> list[tuple]:
+    handler = (EXTRACTORS if extractors is None else extractors).get(language)
     if handler is None:
         return []
     try:
@@ -41,11 +41,16 @@ def extract_file(path: str, language: str, text: str) -> list[tuple]:
         return out.rows
 
 
-def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    ints = ["seq", "line_start", "line_end", "line", "win_start", "win_end"]
-    for batch in batches:
-        rows = [r for p, lang, t in zip(batch.source_file, batch.language, batch.content) for r in extract_file(p, lang, t)]
-        yield pd.DataFrame(rows, columns=COLUMNS).astype(dict.fromkeys(ints, "Int32"))
+def _runner(extractors: dict[str, Callable[[str, str], Emitter]]):
+    """The extractors travel with the task, so those registered on the driver are known to all workers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ints = ["seq", "line_start", "line_end", "line", "win_start", "win_end"]
+        for batch in batches:
+            rows = [r for p, lang, t in zip(batch.source_file, batch.language, batch.content) for r in extract_file(p, lang, t, extractors)]
+            yield pd.DataFrame(rows, columns=COLUMNS).astype(dict.fromkeys(ints, "Int32"))
+
+    return run
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -54,4 +59,4 @@ def extract(files: DataFrame) -> DataFrame:
     The filter on the language comes first, so only texts an extractor reads go to Python.
     """
     known = files.select("source_file", "language", "content").where(F.col("content").isNotNull() & F.col("language").isin(*EXTRACTORS))
-    return known.mapInPandas(_run, SHAPE)
+    return known.mapInPandas(_runner(dict(EXTRACTORS)), SHAPE)

@@ -56,6 +56,11 @@ def last_field(uid: Column) -> Column:
     return F.element_at(F.split(uid, "\\|"), -1)
 
 
+def folded(c: Column) -> Column:
+    """Case folded inside the JVM, for keys: full upper case, then lower (``ß`` and ``SS`` meet in ``ss``, both small sigmas in one)."""
+    return F.translate(F.lower(F.upper(c)), "ς", "σ")
+
+
 def casefold(c: Column) -> Column:
     """Unicode case folding (``ß`` becomes ``ss``); for ASCII identifiers ``lower`` is the same and faster."""
 

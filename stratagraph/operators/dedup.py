@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import folded
 from ..schema import GLOBAL_TYPES, kind_priority
 
 
@@ -15,7 +16,7 @@ def _keep(df: DataFrame, keys: list[Column], order: Column) -> DataFrame:
     return best.select("row.*")
 
 
-def entity_key(fold=F.lower) -> list[Column]:
+def entity_key(fold=folded) -> list[Column]:
     """Type, folded name, and the file for all types but the global ones."""
     return [F.col("entity_type"), fold(F.col("name")), F.when(F.col("entity_type").isin(*GLOBAL_TYPES), F.lit("")).otherwise(F.col("source_file"))]
 

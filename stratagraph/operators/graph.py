@@ -64,9 +64,9 @@ class PropertyGraph:
         e = cut(self.edge(*types).select("start", "end").distinct())
         ends = cut(targets.select("uid").distinct())  # every step asks for them
         left = self._reach(e, ends, most, backward=True).select(F.col("uid").alias("end"), F.col("depth").alias("left"))
-        e = cut(e.withColumn("eid", F.xxhash64("start", "end")).join(left, "end"))
+        e = cut(e.withColumn("eid", F.struct("start", "end")).join(left, "end"))
         goal = ends.select(F.col("uid").alias("goal"))
-        front = sources.select("uid").distinct().select(F.col("uid").alias("source"), F.col("uid").alias("at"), F.array("uid").alias("chain"), F.array().cast("array<bigint>").alias("trail"))
+        front = sources.select("uid").distinct().select(F.col("uid").alias("source"), F.col("uid").alias("at"), F.array("uid").alias("chain"), F.array().cast("array<struct<start:string,end:string>>").alias("trail"))
         found = []
         for d in range(1, most + 1):
             step = front.join(e, F.col("at") == F.col("start")).where((F.col("left") <= most - d) & ~F.array_contains("trail", F.col("eid")))
@@ -95,7 +95,7 @@ class PropertyGraph:
             e = cut(e.join(both.withColumnRenamed("uid", "start"), "start", "left_semi").join(both.withColumnRenamed("uid", "end"), "end", "left_semi"))
             if e.count() == n:
                 break
-        e = e.withColumn("eid", F.xxhash64("start", "end"))
+        e = e.withColumn("eid", F.struct("start", "end"))
         front = e.select(F.col("start").alias("source"), F.col("end").alias("at"), F.array("start", "end").alias("chain"), F.array("eid").alias("trail"))
         found = [front.where("source = at").select("chain", F.lit(1).alias("depth"))] if least <= 1 else []
         for d in range(2, most + 1):
@@ -133,12 +133,15 @@ class PropertyGraph:
         return labels
 
     def pagerank(self, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-        """(uid, rank), the ranks adding up to the number of nodes less what dangling nodes lose."""
+        """(uid, rank), the ranks adding up to the number of nodes; what nodes without a way out hold goes to all alike."""
         e = self.edges.select("start", "end").distinct()
         out = e.groupBy("start").agg(F.count("*").alias("outs"))
         e = cut(e.join(out, "start"))
         rank = cut(self.nodes.select("uid").distinct().withColumn("rank", F.lit(1.0)))
+        n = max(rank.count(), 1)
+        dangling = cut(rank.select("uid").join(out.select(F.col("start").alias("uid")), "uid", "left_anti"))
         for _ in range(rounds):
             given = e.join(rank, F.col("start") == F.col("uid")).groupBy(F.col("end").alias("uid")).agg(F.sum(F.col("rank") / F.col("outs")).alias("given"))
-            rank = cut(rank.join(given, "uid", "left").select("uid", (F.lit(1 - damping) + damping * F.coalesce("given", F.lit(0.0))).alias("rank")))
+            lost = (rank.join(dangling, "uid", "left_semi").agg(F.sum("rank")).first()[0] or 0.0) / n
+            rank = cut(rank.join(given, "uid", "left").select("uid", (F.lit(1 - damping) + damping * (F.coalesce("given", F.lit(0.0)) + F.lit(lost))).alias("rank")))
         return rank

@@ -17,8 +17,9 @@ INDEXES = [
     ("Folder", "uid"), ("SourceFile", "uid"), ("SourceFile", "path"), ("Function", "uid"), ("Function", "name"), ("Class", "uid"), ("Class", "name"), ("Type", "uid"), ("Macro", "uid"), ("Variable", "uid"),
     ("KconfigOption", "uid"), ("KconfigOption", "name"), ("DTNode", "uid"), ("DTBinding", "uid"), ("Document", "uid"), ("Document", "path"), ("Concept", "uid"), ("Requirement", "uid"), ("SourceChunk", "uid"), ("SourceChunk", "source_file"),
 ]
+# Names that say nothing, and the types that count as cross links.
 GENERIC_NAMES = ("config", "data", "temp", "buf", "handler", "manager")
-CROSS_LINKS = ("DOCUMENTED_IN", "REFERENCED_IN", "SATISFIES", "DESCRIBES", "REFERENCES")
+CROSS_LINKS = ("DOCUMENTED_IN", "REFERENCED_IN", "SATISFIES")
 
 
 def label_counts(nodes: DataFrame) -> DataFrame:
@@ -45,8 +46,8 @@ def required_table(spark: SparkSession) -> DataFrame:
 
 
 def schema_nodes(nodes: DataFrame) -> DataFrame:
-    """(label, count, required_properties)."""
-    return label_counts(nodes).join(required_table(nodes.sparkSession), "label", "left")
+    """(label, count, required_properties); a label without an entry must have a name."""
+    return label_counts(nodes).join(required_table(nodes.sparkSession), "label", "left").withColumn("required_properties", F.coalesce("required_properties", F.array(F.lit("name"))))
 
 
 def confidence_histogram(edges: DataFrame) -> DataFrame:

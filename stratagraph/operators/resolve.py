@@ -53,7 +53,7 @@ def resolve_calls(pending: DataFrame, symbols: DataFrame) -> tuple[DataFrame, Da
     """Calls and base classes -> (edges, unresolved). Names without any candidate are library names and leave no row."""
     rows = pending.where("pend_kind in ('call', 'extends')")
     kind = F.when(F.col("pend_kind") == "extends", "typelike").otherwise("function")
-    rows = rows.select("subject", "target", F.col("source_file").alias("file"), "line", F.when(F.col("pend_kind") == "extends", "EXTENDS").otherwise("CALLS").alias("predicate"), kind.alias("target_kind"), F.lower("target").alias("key"))
+    rows = rows.select("subject", "target", F.col("source_file").alias("file"), "line", F.when(F.col("pend_kind") == "extends", "EXTENDS").otherwise("CALLS").alias("predicate"), kind.alias("target_kind"), text.folded(F.col("target")).alias("key"))
     met = pick_unique(rows, symbols)
     sure = F.when(file_of(F.col("target_uid")) == F.col("file"), 1.0).otherwise(0.8)
     edges = met.where("status = 'ok'").select(*_edge(F.col("subject"), F.col("predicate"), F.col("target_uid"), sure, F.col("file"), F.col("line"), "unique candidate by name"))
@@ -87,14 +87,14 @@ def resolve_docs(pending: DataFrame, symbols: DataFrame, entities: DataFrame, fi
     refs = pending.where("pend_kind = 'docref'").withColumn("target_kind", target_kind_of(F.col("role"))).where("target_kind is not null")
     refs = refs.select("subject", "target", "source_file", "line", "role", "target_kind")
     bare = F.regexp_replace(F.col("target"), r"\(\)$", "")
-    named = refs.where("target_kind in ('function', 'typelike', 'symbol')").withColumns({"key": F.lower(bare), "file": F.col("source_file")})
+    named = refs.where("target_kind in ('function', 'typelike', 'symbol')").withColumns({"key": text.folded(bare), "file": F.col("source_file")})
     a = pick_unique(named, symbols).select("subject", "target", "source_file", "line", "role", F.when(F.col("status") == "ok", F.col("target_uid")).alias("hit"))
     options = entities.where("entity_type = 'KconfigOption'").select(F.col("name").alias("option"), F.col("uid").alias("hit")).dropDuplicates(["option"])
     b = refs.where("target_kind = 'kconfig'").withColumn("option", text.strip_config(F.split("target", "=")[0])).join(options, "option", "left").select("subject", "target", "source_file", "line", "role", "hit")
     c = resolve_files(refs.where("target_kind = 'file'"), files)
     c = c.select("subject", "target", "source_file", "line", "role", F.when(F.col("resolved").isNotNull(), F.concat(F.lit("SourceFile|"), "resolved")).alias("hit"))
-    anchors = pending.where("pend_kind = 'anchor'").groupBy(F.lower("target").alias("anchor")).agg(F.max_by("subject", F.struct("source_file", "line")).alias("hit"))  # the last one wins
-    d = refs.where("target_kind = 'anchor'").withColumn("anchor", F.lower("target")).join(anchors, "anchor", "left").select("subject", "target", "source_file", "line", "role", "hit")
+    anchors = pending.where("pend_kind = 'anchor'").groupBy(text.folded(F.col("target")).alias("anchor")).agg(F.max_by("subject", F.struct("source_file", "line")).alias("hit"))  # the last one wins
+    d = refs.where("target_kind = 'anchor'").withColumn("anchor", text.folded(F.col("target"))).join(anchors, "anchor", "left").select("subject", "target", "source_file", "line", "role", "hit")
     met = a.unionByName(b).unionByName(c).unionByName(d)
     edges = met.where("hit is not null").select(*_edge(F.col("subject"), "REFERENCES", F.col("hit"), 1.0, F.col("source_file"), F.col("line"), "reference role", F.col("role")))
     missing = met.where("hit is null").select(F.col("target").alias("entity_name"), F.lit("Reference").alias("entity_type"), "source_file", F.col("line").alias("line_number"), F.concat(F.lit("no unique target for role "), "role").alias("reason"))

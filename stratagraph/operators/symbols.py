@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import folded
 from ..schema import kind_priority
 
 
@@ -19,7 +20,7 @@ def symbol_table(entities: DataFrame) -> DataFrame:
     """(target_kind, key, uid, file, priority) of everything that can be referred to by name."""
     kind = F.when(F.col("entity_type") == "Function", "function").when(F.col("entity_type").isin("Class", "Type", "Macro"), "typelike")
     rows = entities.withColumn("target_kind", kind).where("target_kind is not null")
-    rows = rows.select("target_kind", F.lower("name").alias("key"), "uid", F.col("source_file").alias("file"), kind_priority(F.col("kind")).alias("priority")).distinct()
+    rows = rows.select("target_kind", folded(F.col("name")).alias("key"), "uid", F.col("source_file").alias("file"), kind_priority(F.col("kind")).alias("priority")).distinct()
     return rows.unionByName(rows.withColumn("target_kind", F.lit("symbol")))
 
 

@@ -26,9 +26,10 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The last recorded version of every uid, and the chunks."""
+    """The last recorded version of every uid, if it is not deleted, and the chunks."""
     e = entities(spark, d).withColumns({"label": F.col("entity_type"), "file": F.col("source_file")})
-    last = e.groupBy("uid").agg(F.max_by(F.struct(*NODE_COLS[1:]), F.struct("ingested_at", "entity_id")).alias("row")).select("uid", "row.*")
+    last = e.groupBy("uid").agg(F.max_by(F.struct(*NODE_COLS[1:], "deleted_at"), F.struct("ingested_at", "entity_id")).alias("row"))
+    last = last.where("row.deleted_at is null").select("uid", *(f"row.{c}" for c in NODE_COLS[1:]))
     c = table(spark, d, "source_chunks").select("uid", F.lit("SourceChunk").alias("label"), F.col("source_file").alias("file")).distinct()
     return last.unionByName(c, allowMissingColumns=True)
 
@@ -54,8 +55,8 @@ WITH = f"""WITH RECURSIVE ents AS (
 rels AS (SELECT DISTINCT ON (relation_id) relation_id, {READ.format('subject')} AS subject, predicate, {READ.format('object')} AS object, confidence, source_file, line, role, metadata, ingested_at
   FROM relations WHERE {READ.format('subject')} <> '' AND {READ.format('object')} <> ''),
 nodes AS (
-  SELECT uid, entity_type AS label, name, source_file AS file, line_start, line_end, kind, extraction_method, description, metadata, source_text, signature, return_type, parameters FROM ents WHERE uid IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY uid ORDER BY ingested_at DESC, entity_id DESC) = 1
+  SELECT uid, entity_type AS label, name, source_file AS file, line_start, line_end, kind, extraction_method, description, metadata, source_text, signature, return_type, parameters
+  FROM (SELECT * FROM ents WHERE uid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY uid ORDER BY ingested_at DESC, entity_id DESC) = 1) WHERE deleted_at IS NULL
   UNION ALL BY NAME SELECT DISTINCT uid, 'SourceChunk' AS label, source_file AS file FROM source_chunks),
 edges AS (SELECT predicate AS type, subject AS s, object AS o, confidence, source_file AS file, line, role, metadata FROM rels
   QUALIFY row_number() OVER (PARTITION BY predicate, subject, object ORDER BY ingested_at DESC, relation_id DESC) = 1)

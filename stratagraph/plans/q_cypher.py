@@ -14,8 +14,8 @@ TEXTS = {
     "c_two_hops": "MATCH (s:SourceFile)-[:DECLARES]->(o:KconfigOption)-[:DEPENDS_ON]->(p:KconfigOption) RETURN p.name AS needed, count(DISTINCT s.uid) AS files",
     "c_converging": "MATCH (n:DTNode)-[:COMPATIBLE_WITH]->(b:DTBinding)<-[:DECLARES]-(f:SourceFile) RETURN b.name AS binding, count(*) AS nodes",
     "c_undirected": "MATCH (f:Function)-[r]-(other) WHERE f.name STARTS WITH 'adc' RETURN type(r) AS rel, count(*) AS n",
-    "c_paths": "MATCH p = (a:Function)-[:CALLS*1..3]->(z:Function {name: 'log_emit'}) WHERE a.name STARTS WITH 'adc_arm' RETURN size(p) AS depth, a.uid AS first",
-    "c_chain": "MATCH p = (a:Function)-[:CALLS*1..2]->(z:Function {name: 'log_emit'}) WHERE a.name STARTS WITH 'adc' WITH p, nodes(p) AS ns UNWIND ns AS n WITH p, collect(n.name) AS names RETURN names[0] AS first, size(p) AS depth",
+    "c_paths": "MATCH p = (a:Function)-[:CALLS*1..10]->(z:Function {name: 'log_emit'}) WHERE a.name STARTS WITH 'adc_arm' RETURN size(p) AS depth, a.uid AS first",
+    "c_chain": "MATCH p = (a:Function)-[:CALLS*1..10]->(z:Function {name: 'log_emit'}) WHERE a.name STARTS WITH 'adc' WITH p, nodes(p) AS ns UNWIND ns AS n WITH p, collect(n.name) AS names RETURN names[0] AS first, size(p) AS depth",
     "c_call_trails": "MATCH p = (a:Function)-[:CALLS*1..10]->(z:Function {name: 'log_emit'}) WHERE a.name STARTS WITH 'adc_arm' RETURN size(p) AS depth, a.uid AS first",
     "c_call_chains": "MATCH p = (a:Function)-[:CALLS*1..10]->(z:Function {name: 'log_emit'}) WHERE a.name STARTS WITH 'adc' WITH p, nodes(p) AS ns UNWIND ns AS n WITH p, collect(n.name) AS names RETURN names[0] AS first, size(p) AS depth",
     "c_top": "MATCH (f:Function)-[c:CALLS]->(g:Function) RETURN g.uid AS uid, count(c) AS calls ORDER BY calls DESC, uid LIMIT 5",
@@ -39,8 +39,8 @@ SQL = {
     "c_two_hops": f"{WITH} SELECT c.name AS needed, count(DISTINCT a.uid) AS files FROM edges e JOIN nodes a ON e.s = a.uid AND a.label = 'SourceFile' JOIN nodes b ON e.o = b.uid AND b.label = 'KconfigOption' JOIN edges g ON g.s = b.uid AND g.type = 'DEPENDS_ON' JOIN nodes c ON g.o = c.uid AND c.label = 'KconfigOption' WHERE e.type = 'DECLARES' GROUP BY 1",
     "c_converging": f"{WITH} SELECT b.name AS binding, count(*) AS nodes FROM edges e JOIN nodes a ON e.s = a.uid AND a.label = 'DTNode' JOIN nodes b ON e.o = b.uid AND b.label = 'DTBinding' JOIN edges g ON g.o = b.uid AND g.type = 'DECLARES' JOIN nodes c ON g.s = c.uid AND c.label = 'SourceFile' WHERE e.type = 'COMPATIBLE_WITH' GROUP BY 1",
     "c_undirected": f"{WITH}, t AS (SELECT type, s AS a, o AS b FROM edges UNION ALL SELECT type, o, s FROM edges WHERE s <> o) SELECT t.type AS rel, count(*) AS n FROM t JOIN nodes f ON t.a = f.uid JOIN nodes g ON t.b = g.uid WHERE f.label = 'Function' AND starts_with(f.name, 'adc') GROUP BY 1",
-    "c_paths": _walk("CALLS", 1, 3, _ADC.format("adc_arm"), _LOG).replace("SELECT chain, depth FROM walk", "SELECT depth, s AS first FROM walk"),
-    "c_chain": _walk("CALLS", 1, 2, _ADC.format("adc"), _LOG).replace("SELECT chain, depth FROM walk", "SELECT split_part(s, '|', -1) AS first, depth FROM walk"),
+    "c_paths": _walk("CALLS", 1, 10, _ADC.format("adc_arm"), _LOG).replace("SELECT chain, depth FROM walk", "SELECT depth, s AS first FROM walk"),
+    "c_chain": _walk("CALLS", 1, 10, _ADC.format("adc"), _LOG).replace("SELECT chain, depth FROM walk", "SELECT split_part(s, '|', -1) AS first, depth FROM walk"),
     "c_call_trails": _walk("CALLS", 1, 10, _ADC.format("adc_arm"), _LOG).replace("SELECT chain, depth FROM walk", "SELECT depth, s AS first FROM walk"),
     "c_call_chains": _walk("CALLS", 1, 10, _ADC.format("adc"), _LOG).replace("SELECT chain, depth FROM walk", "SELECT split_part(s, '|', -1) AS first, depth FROM walk"),
     "c_top": f"{WITH} SELECT b.uid, count(*) AS calls FROM edges e JOIN nodes a ON e.s = a.uid AND a.label = 'Function' JOIN nodes b ON e.o = b.uid AND b.label = 'Function' WHERE e.type = 'CALLS' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",

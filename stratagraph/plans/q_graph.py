@@ -27,11 +27,11 @@ def q02_edge_inventory(s, d):
 
 def q03_documents_containing(s, d, word="beacon"):
     n = graph(s, d).node("Document")
-    return n.where(F.lower("file").contains(word) | F.lower("name").contains(word)).select(F.col("file").alias("path"), F.col("name").alias("title"))
+    return n.where(F.lower("file").contains(word) | F.lower("name").contains(word)).select(F.col("file").alias("path"), F.col("name").alias("title")).orderBy("path", "title")
 
 
 def q04_driver_functions(s, d):
-    return graph(s, d).node("Function").where(F.lower("file").contains("drivers")).select("name", "file", "kind")
+    return graph(s, d).node("Function").where(F.lower("file").contains("drivers")).select("name", "file", "kind").orderBy("file", "name", "kind")
 
 
 def q05_peripherals(s, d):
@@ -62,7 +62,7 @@ def q09_document_descriptions(s, d):
 
 
 def q10_call_graph(s, d):
-    return _pairs(s, d, "Function", ["CALLS"], "Function").select(F.col("a_name").alias("caller"), F.col("a_file").alias("caller_file"), F.col("b_name").alias("callee"), F.col("b_file").alias("callee_file"))
+    return _pairs(s, d, "Function", ["CALLS"], "Function").select(F.col("a_name").alias("caller"), F.col("a_file").alias("caller_file"), F.col("b_name").alias("callee"), F.col("b_file").alias("callee_file")).orderBy("caller_file", "caller", "callee_file", "callee")
 
 
 def t1_uart_functions(s, d):
@@ -87,7 +87,7 @@ def t5_and_or_filter(s, d):
     return n.where((F.col("name").contains("uart") | F.col("file").contains("uart")) & (F.col("name").contains("init") | F.col("name").contains("reset") | F.col("name").contains("poll"))).select(F.col("uid").alias("function_uid"), F.col("name").alias("function_name"), "file", "line_start", "kind")
 
 
-def t6_call_paths(s, d, most=3):
+def t6_call_paths(s, d, most=10):
     g = graph(s, d)
     a = g.node("Function").where(F.col("name").startswith("adc_arm"))
     b = g.node("Function").where(F.col("name") == "log_emit")
@@ -99,11 +99,11 @@ def t6_shortest(s, d):
 
 
 def t7_include_cycles(s, d):
-    return graph(s, d).cycles(["INCLUDES"], 2, 3).select(F.array_join("chain", " > ").alias("chain"), "depth")
+    return graph(s, d).cycles(["INCLUDES"], 2, 5).select(F.array_join("chain", " > ").alias("chain"), "depth")
 
 
 def t7_call_cycles(s, d):
-    return graph(s, d).cycles(["CALLS"], 2, 2).select(F.array_join("chain", " > ").alias("chain"), "depth")
+    return graph(s, d).cycles(["CALLS"], 2, 5).select(F.array_join("chain", " > ").alias("chain"), "depth")
 
 
 def g01_call_trails(s, d):
@@ -274,6 +274,11 @@ def sweep_degree_zero(s, d):
 
 
 def sweep_long_uncommented(s, d):
+    e = entities(s, d).where("entity_type = 'Function' and kind = 'definition'").dropDuplicates(["entity_id"])
+    return metrics.long_uncommented(e).select("entity_id", "name")
+
+
+def sweep_uncommented_20(s, d):
     e = entities(s, d).where("entity_type = 'Function' and kind = 'definition'").dropDuplicates(["entity_id"])
     return metrics.long_uncommented(e, lines=20).select("entity_id", "name")
 
@@ -314,7 +319,7 @@ QUERIES = {f.__name__: f for f in (
     g01_event_paths, g02_event_cycles, q01_node_inventory, q02_edge_inventory, q03_documents_containing, q04_driver_functions, q05_peripherals, q06_boards, q07_board_support, q08_function_usage, q09_document_descriptions, q10_call_graph,
     t1_uart_functions, t2_edges_at_uart, t3_documents, t4_requirements, t5_and_or_filter, t6_call_paths, t6_shortest, t7_include_cycles, t7_call_cycles, g01_call_trails, g01_shortest_trails, g02_include_cycles, g02_call_cycles, d1_node_to_binding, d2_unwound_labels, r1_converging, r2_two_hops, g03_callers, g06_subtree,
     a01_best_entities, a02_last_relations, a03_surest_relations, a04_degree, a05_isolated, a06_type_distribution, a08_completeness, a09_label_sets, a10_schema_nodes, a11_confidence_histogram, a12_cross_links, a15_totals, a16_distinct_labels, a18_collect, a19_merged_edges,
-    o03_top_central, j08_stub_options, j11_skipped_ends, j12_has_chunk, proj_node_rows, v09_route, v09_versions, sweep_stubs, sweep_unsure, sweep_degree_zero, sweep_long_uncommented, g05_communities, g05_pagerank,
+    o03_top_central, j08_stub_options, j11_skipped_ends, j12_has_chunk, proj_node_rows, v09_route, v09_versions, sweep_stubs, sweep_unsure, sweep_degree_zero, sweep_long_uncommented, sweep_uncommented_20, g05_communities, g05_pagerank,
 )}
 
 _PRIO = "CASE coalesce(kind, '') WHEN 'definition' THEN 3 WHEN 'struct' THEN 3 WHEN 'union' THEN 3 WHEN 'enum' THEN 3 WHEN 'typedef' THEN 3 WHEN 'node' THEN 3 WHEN 'declared' THEN 3 WHEN 'referenced' THEN 1 WHEN 'stub' THEN 0 ELSE 2 END"
@@ -333,7 +338,7 @@ SELECT chain, depth FROM walk WHERE depth >= {least} AND {last}"""
 
 
 _ENDS = ("s IN (SELECT uid FROM nodes WHERE label = 'Function' AND starts_with(name, 'adc_arm'))", "o IN (SELECT uid FROM nodes WHERE label = 'Function' AND name = 'log_emit')")
-_PATHS = _walk("CALLS", 1, 3, "s IN (SELECT uid FROM nodes WHERE label = 'Function' AND starts_with(name, 'adc_arm'))", "o IN (SELECT uid FROM nodes WHERE label = 'Function' AND name = 'log_emit')")
+_PATHS = _walk("CALLS", 1, 10, "s IN (SELECT uid FROM nodes WHERE label = 'Function' AND starts_with(name, 'adc_arm'))", "o IN (SELECT uid FROM nodes WHERE label = 'Function' AND name = 'log_emit')")
 SQL = {
     "q01_node_inventory": f"{WITH} SELECT label AS labels, count(*) AS count FROM nodes GROUP BY 1",
     "q02_edge_inventory": f"{WITH} SELECT type AS relationship, count(*) AS count FROM edges GROUP BY 1",
@@ -352,8 +357,8 @@ SQL = {
     "t5_and_or_filter": f"{WITH} SELECT uid AS function_uid, name AS function_name, file, line_start, kind FROM nodes WHERE label = 'Function' AND (contains(name, 'uart') OR contains(file, 'uart')) AND (contains(name, 'init') OR contains(name, 'reset') OR contains(name, 'poll'))",
     "t6_call_paths": _PATHS,
     "t6_shortest": _PATHS + " ORDER BY depth, chain LIMIT 5",
-    "t7_include_cycles": _walk("INCLUDES", 2, 3, "true", "s = o"),
-    "t7_call_cycles": _walk("CALLS", 2, 2, "true", "s = o"),
+    "t7_include_cycles": _walk("INCLUDES", 2, 5, "true", "s = o"),
+    "t7_call_cycles": _walk("CALLS", 2, 5, "true", "s = o"),
     "d1_node_to_binding": f"{WITH} " + _PAIR.format(cols="a.name AS node, b.name AS binding", a="DTNode", b="DTBinding", t="COMPATIBLE_WITH") + " AND starts_with(a.name, 'uart')",
     "d2_unwound_labels": f"{WITH} SELECT label, count(*) AS count FROM nodes GROUP BY 1",
     "r1_converging": f"{WITH} SELECT a.o AS option, files, dependents FROM (SELECT o, count(*) AS files FROM edges WHERE type = 'SETS' GROUP BY 1) a JOIN (SELECT o, count(*) AS dependents FROM edges WHERE type = 'DEPENDS_ON' GROUP BY 1) b USING (o)",
@@ -370,7 +375,7 @@ SELECT uid, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1""",
     "a06_type_distribution": f"{WITH} SELECT entity_type, kind, count(*) AS count FROM ents WHERE uid IS NOT NULL GROUP BY 1, 2",
     "a08_completeness": f"{WITH}, f AS (SELECT DISTINCT source_file FROM source_files), n AS (SELECT DISTINCT file FROM nodes WHERE label = 'SourceFile') SELECT count(*) AS files, count(n.file) AS nodes, count(*) = count(n.file) AS complete FROM f LEFT JOIN n ON f.source_file = n.file",
     "a09_label_sets": f"{WITH} SELECT type, count(*) AS count, array_to_string(list_sort(list(DISTINCT a.label)), ',') AS start_labels, array_to_string(list_sort(list(DISTINCT b.label)), ',') AS end_labels FROM edges e JOIN nodes a ON e.s = a.uid JOIN nodes b ON e.o = b.uid GROUP BY 1",
-    "a10_schema_nodes": f"{WITH}, q(label, required) AS (VALUES {_REQUIRED}) SELECT n.label, count(*) AS count, CAST(any_value(q.required) AS INTEGER) AS required FROM nodes n LEFT JOIN q ON q.label = n.label GROUP BY 1",
+    "a10_schema_nodes": f"{WITH}, q(label, required) AS (VALUES {_REQUIRED}) SELECT n.label, count(*) AS count, CAST(coalesce(any_value(q.required), 1) AS INTEGER) AS required FROM nodes n LEFT JOIN q ON q.label = n.label GROUP BY 1",
     "a11_confidence_histogram": f"{WITH} SELECT count(*) FILTER (confidence >= 0.9) AS high, count(*) FILTER (confidence >= 0.6 AND confidence < 0.9) AS medium, count(*) FILTER (confidence >= 0.4 AND confidence < 0.6) AS low FROM rels",
     "a12_cross_links": f"{WITH} SELECT count(*) FILTER (type IN ({_CROSS})) AS cross_links FROM edges",
     "a15_totals": f"{WITH} SELECT 'nodes' AS what, count(*) AS total FROM nodes UNION ALL SELECT 'relationships', count(*) FROM edges",
@@ -387,7 +392,9 @@ SELECT uid, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1""",
     "sweep_stubs": f"{WITH} SELECT DISTINCT name AS entity_name, entity_type, source_file, line_start AS line_number, 'referred to, never declared' AS reason FROM ents WHERE entity_type = 'KconfigOption' AND kind = 'stub'",
     "sweep_unsure": f"{WITH} SELECT relation_id, confidence FROM rels WHERE confidence < 0.6",
     "sweep_degree_zero": f"{WITH} SELECT entity_type, count(*) AS n FROM ents WHERE uid IS NOT NULL AND name NOT IN (SELECT split_part(subject, '|', -1) FROM rels UNION SELECT split_part(object, '|', -1) FROM rels) GROUP BY 1",
-    "sweep_long_uncommented": f"""{WITH} SELECT DISTINCT entity_id, name FROM ents WHERE entity_type = 'Function' AND kind = 'definition' AND length(substr(source_text, 1, 8000)) - length(replace(substr(source_text, 1, 8000), chr(10), '')) > 20
+    "sweep_long_uncommented": f"""{WITH} SELECT DISTINCT entity_id, name FROM ents WHERE entity_type = 'Function' AND kind = 'definition' AND length(substr(source_text, 1, 8000)) - length(replace(substr(source_text, 1, 8000), chr(10), '')) > 100
+AND NOT regexp_matches(substr(source_text, 1, 8000), '(?m)^\\s*(?://|/\\*|\\*|#)')""",
+    "sweep_uncommented_20": f"""{WITH} SELECT DISTINCT entity_id, name FROM ents WHERE entity_type = 'Function' AND kind = 'definition' AND length(substr(source_text, 1, 8000)) - length(replace(substr(source_text, 1, 8000), chr(10), '')) > 20
 AND NOT regexp_matches(substr(source_text, 1, 8000), '(?m)^\\s*(?://|/\\*|\\*|#)')""",
 }
 
@@ -395,7 +402,7 @@ AND NOT regexp_matches(substr(source_text, 1, 8000), '(?m)^\\s*(?://|/\\*|\\*|#)
 def _ranks(rounds: int) -> str:
     out = f"{WITH}, e AS (SELECT DISTINCT s, o FROM edges WHERE type = 'CALLS'), d AS (SELECT s, count(*) AS outs FROM e GROUP BY 1), r0 AS (SELECT DISTINCT uid, CAST(1.0 AS DOUBLE) AS rank FROM (SELECT s AS uid FROM e UNION ALL SELECT o FROM e))"
     for i in range(rounds):
-        out += f", g{i} AS (SELECT e.o AS uid, sum(r.rank / d.outs) AS given FROM e JOIN d USING (s) JOIN r{i} r ON r.uid = e.s GROUP BY 1), r{i + 1} AS (SELECT r.uid, CAST(1 AS DOUBLE) - CAST(0.85 AS DOUBLE) + CAST(0.85 AS DOUBLE) * coalesce(given, 0) AS rank FROM r{i} r LEFT JOIN g{i} USING (uid))"
+        out += f", g{i} AS (SELECT e.o AS uid, sum(r.rank / d.outs) AS given FROM e JOIN d USING (s) JOIN r{i} r ON r.uid = e.s GROUP BY 1), r{i + 1} AS (SELECT r.uid, CAST(1 AS DOUBLE) - CAST(0.85 AS DOUBLE) + CAST(0.85 AS DOUBLE) * (coalesce(given, 0) + (SELECT coalesce(sum(x.rank), 0) FROM r{i} x WHERE x.uid NOT IN (SELECT s FROM d)) / (SELECT count(*) FROM r{i})) AS rank FROM r{i} r LEFT JOIN g{i} USING (uid))"
     return f"{out} SELECT uid, round(rank, 10) AS rank FROM r{rounds}"
 
 
