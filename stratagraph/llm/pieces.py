@@ -1,14 +1,16 @@
 """Splitting oversized items at natural boundaries.
 
-Works on byte ranges, so no task ever needs a whole item: the bytes of an item are cut into ranges, a range is decoded
+Works on byte ranges: the bytes of an item are cut into ranges where its row is read (a cell of a table is in memory as
+a whole by then; files are read range by range, by offset, with :func:`split_files`), and no later task needs a whole
+item. A range is decoded
 with a halo of a few bytes on either side, counted, and searched for boundaries. Prefix sums over the counts (not over
 the text) turn positions inside ranges into positions in the item. Boundaries are thinned to the best one per cell (an
 eighth of a piece), the cells of an item are grouped into segments of bounded size that start at a cut of their own,
 and the cuts of each segment are chosen independently. Pieces are then assembled from the ranges they touch.
 
 A piece has at most ``max_chars`` characters, its overlap included, and starts with the last ``overlap_chars``
-characters of the piece before. Cuts prefer the start of a paragraph, then of a line, the end of a sentence, and
-white space, and take the farthest of the best within reach; only text without any of these is cut elsewhere, and
+characters of the piece before. Cuts prefer the start of a paragraph, a heading or what follows a definition, then of a
+line, the end of a sentence, and white space, and take the farthest of the best within reach; only text without any of these is cut elsewhere, and
 never inside a CR LF pair.
 
 Defined results: a null chunk_type means ``fixed_window``; chunks of a type without limits, with null content, without
@@ -34,40 +36,64 @@ CELLS = 8
 SEGMENT_CELLS = 2048
 DEFAULT_TYPE = "fixed_window"
 
-_RANGE = "chunk_id long, range_no long, lead string, text string, chars long, lines long"
+_RANGE = "chunk_id long, version long, range_no long, lead string, text string, chars long, lines long"
 _BEST = "chunk_id long, cell long, score long, pos long"
 _CUTS = "chunk_id long, start long, stop long"
 _BREAKS = (  # later ones are stronger
     (1, re.compile(r"\s(?=\S)")),
     (2, re.compile(r"(?<=[.!?;:])\s+(?=\S)")),
     (3, re.compile(r"\n|\r(?!\n)")),
-    (4, re.compile(r"(?:\n|\r\n?)[ \t]*(?:\r\n|\n|\r)(?!\s*(?:\r|\n))|\n(?=#{1,6} |=+ |\\(?:sub)*section|<h[1-6]\b|[^\s{}])(?<=\}\n)")),
+    (4, re.compile(r"(?:\n|\r\n?)[ \t]*(?:\r\n|\n|\r)(?!\s*(?:\r|\n))|(?:\n|\r(?!\n))(?=#{1,6} \S|={1,6} ?\S|\\(?:chapter|(?:sub)*section)\b|<h[1-6]\b)|(?<=[\n\r]\})(?:\r\n|\n|\r)(?=[^\s{}])")),  # an empty line, a heading, the end of a definition
 )
 
 
 def oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
+    """(chunk_id, version, line_start, content, max_chars, overlap_chars) of the rows over their limit; version tells texts of one id apart."""
     limits = limits.select(F.col("chunk_type").alias("kind"), "max_chars", "overlap_chars").where("chunk_type is not null and max_chars > 0").distinct()
     limits = limits.withColumn("overlap_chars", F.greatest(F.coalesce("overlap_chars", F.lit(0)), F.lit(0)))
     ok = F.when(F.col("overlap_chars") * 2 < F.col("max_chars"), F.col("max_chars")).otherwise(F.raise_error(F.lit("overlap_chars must be less than half of max_chars")))
     kind = F.coalesce("chunk_type", F.lit(DEFAULT_TYPE)).alias("kind")
-    big = chunks.select("chunk_id", kind, F.coalesce("line_start", F.lit(1)).alias("line_start"), "content").join(limits.withColumn("max_chars", ok), "kind")
-    return big.where((F.length("content") > F.col("max_chars")) & F.col("chunk_id").isNotNull()).dropDuplicates(["chunk_id"]).select("chunk_id", "line_start", "content", "max_chars", "overlap_chars")
+    big = chunks.select("chunk_id", kind, F.coalesce("line_start", F.lit(1)).alias("line_start"), "content").join(limits, "kind").withColumn("max_chars", ok)
+    big = big.where((F.length("content") > F.col("max_chars")) & F.col("chunk_id").isNotNull())
+    return big.select("chunk_id", F.xxhash64("content").alias("version"), "line_start", "content", "max_chars", "overlap_chars")
 
 
 def _ranges(big: DataFrame, size: int) -> DataFrame:
-    """One row per byte range, with its halo; plain slices of the bytes, made where the row was read."""
+    """One row per byte range, with its halo; plain slices of the bytes, made where the row was read. Repeated rows give equal ranges, kept once."""
     raw = F.col("content").cast("binary")
     n = F.ceil(F.octet_length("content") / size) - 1
     # substring counts from 1; a range of number i > 0 starts HALO bytes early
     part = lambda i: F.struct(i.alias("range_no"), F.substring(raw, F.greatest(i * size - HALO + 1, F.lit(1)).cast("int"), F.lit(size + 2 * HALO)).alias("bytes"))
-    return big.select("chunk_id", F.explode(F.transform(F.sequence(F.lit(0), n.cast("int")), part)).alias("r")).select("chunk_id", F.col("r.range_no").cast("long").alias("range_no"), "r.bytes")
+    rows = big.select("chunk_id", "version", F.explode(F.transform(F.sequence(F.lit(0), n.cast("int")), part)).alias("r"))
+    rows = rows.select("chunk_id", "version", F.col("r.range_no").cast("long").alias("range_no"), "r.bytes")
+    return rows.dropDuplicates(["chunk_id", "version", "range_no"])
+
+
+def _file_ranges(files: DataFrame, size: int) -> DataFrame:
+    """The same for whole files, (chunk_id, path, bytes): every range is read by its offset, and no task sees the file."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for chunk, path, no in zip(batch.chunk_id, batch.path, batch.range_no):
+                system, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+                with system.open_input_file(name) as f:
+                    at = max(no * size - HALO, 0)
+                    f.seek(at)
+                    yield pd.DataFrame({"chunk_id": [chunk], "version": [0], "range_no": [no], "bytes": [f.read(size + 2 * HALO if no else size + HALO)]})
+
+    n = F.greatest(F.ceil(F.col("bytes") / size) - 1, F.lit(0))
+    numbered = files.select("chunk_id", "path", F.explode(F.sequence(F.lit(0), n.cast("int"))).alias("range_no"))
+    numbered = numbered.repartition("chunk_id", "range_no")
+    return numbered.mapInPandas(read, "chunk_id long, version long, range_no long, bytes binary")
 
 
 def _decode(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for chunk, no, raw in zip(batch.chunk_id, batch.range_no, batch.bytes):
+            for chunk, version, no, raw in zip(batch.chunk_id, batch.version, batch.range_no, batch.bytes):
                 a = HALO if no else 0
                 z = a + size
                 while a < len(raw) and a > 0 and raw[a] & 0xC0 == 0x80:  # a character belongs to the range of its first byte
@@ -76,8 +102,8 @@ def _decode(size: int):
                     z += 1
                 text = raw[a:z].decode("utf-8", "replace")
                 lead = raw[max(0, a - HALO) : a].decode("utf-8", "ignore")[-8:]
-                rows.append((chunk, no, lead, text, len(text), text.count("\n")))
-            yield pd.DataFrame(rows, columns=["chunk_id", "range_no", "lead", "text", "chars", "lines"])
+                rows.append((chunk, version, no, lead, text, len(text), text.count("\n")))
+            yield pd.DataFrame(rows, columns=["chunk_id", "version", "range_no", "lead", "text", "chars", "lines"])
 
     return run
 
@@ -152,14 +178,29 @@ def _cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def split_oversized(chunks: DataFrame, limits: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(chunk_id, piece_no, line_start, line_end, content) of every chunk over its limit."""
-    big = cut(oversized(chunks, limits))
-    facts = big.select("chunk_id", F.col("line_start").alias("first_line"), "max_chars", "overlap_chars", F.length("content").cast("long").alias("total"))
+    big = oversized(chunks, limits)
+    one = F.min(F.struct("version", F.col("line_start").alias("first_line"), "max_chars", "overlap_chars", F.length("content").cast("long").alias("total"))).alias("f")
+    facts = cut(big.groupBy("chunk_id").agg(one).select("chunk_id", "f.*"))  # numbers only
+    return _assembled(cut(_ranges(big, range_bytes).mapInPandas(_decode(range_bytes), _RANGE)), facts, range_bytes)
+
+
+def split_files(files: DataFrame, max_chars: int, overlap_chars: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The same for files of UTF-8 text, (chunk_id, path, bytes: their size): ranges are read by offset, so a file may be of any size."""
+    if overlap_chars < 0 or overlap_chars * 2 >= max_chars:
+        raise ValueError("overlap_chars must be less than half of max_chars")
+    ranges = cut(_file_ranges(files, range_bytes).mapInPandas(_decode(range_bytes), _RANGE))
+    facts = ranges.groupBy("chunk_id").agg(F.sum("chars").alias("total")).where(F.col("total") > max_chars)
+    facts = facts.select("chunk_id", F.lit(0).cast("long").alias("version"), F.lit(1).alias("first_line"), F.lit(max_chars).alias("max_chars"), F.lit(overlap_chars).alias("overlap_chars"), "total")
+    return _assembled(ranges, cut(facts), range_bytes)
+
+
+def _assembled(ranges: DataFrame, facts: DataFrame, range_bytes: int) -> DataFrame:
+    """Pieces from decoded ranges and the facts of their items."""
     facts = facts.withColumn("cell_chars", F.greatest(F.floor((F.col("max_chars") - F.col("overlap_chars")) / CELLS), F.lit(1)).cast("long"))
-    ranges = _ranges(big, range_bytes).repartition("chunk_id", "range_no").mapInPandas(_decode(range_bytes), _RANGE)
     before = Window.partitionBy("chunk_id").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # numbers only
-    ranges = cut(ranges)
-    sums = ranges.select("chunk_id", "range_no", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("at"), F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("line_at"))
-    placed = cut(ranges.join(sums, ["chunk_id", "range_no"]).join(facts, "chunk_id").where("chars > 0"))
+    counts = ranges.select("chunk_id", "version", "range_no", "chars", "lines").join(facts.select("chunk_id", "version"), ["chunk_id", "version"])
+    sums = counts.select("chunk_id", "version", "range_no", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("at"), F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("line_at"))
+    placed = cut(ranges.join(sums, ["chunk_id", "version", "range_no"]).join(facts.drop("version"), "chunk_id").where("chars > 0"))
 
     best = placed.select("chunk_id", "lead", "text", "at", "cell_chars", "total").mapInPandas(_boundaries, _BEST)
     best = best.groupBy("chunk_id", "cell").agg(F.max(F.struct("score", "pos")).alias("b")).select("chunk_id", "cell", "b.score", "b.pos")

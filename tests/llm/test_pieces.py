@@ -81,3 +81,24 @@ def test_choose_keeps_within_reach(cells, room):
     edges = [0, *cuts, int(pos[-1])]
     assert all(0 < b - a <= room for a, b in zip(edges, edges[1:]))
     assert all(b - a >= 10 for a, b in zip(edges, edges[1:-1]))
+
+
+def test_headings_are_boundaries():
+    strong = P._BREAKS[-1][1]
+    at = lambda t: [t[m.end() :][:6] for m in strong.finditer(t)]
+    assert at("a line\n# Heading\nmore\n== Wiki ==\nx\n\\section{a}\n<h2>b</h2>\nplain\n") == ["# Head", "== Wik", "\\secti", "<h2>b<"]
+    assert at("int f()\n{\n}\nint g()\n{ }\n") == ["int g("] and at("one\n\ntwo\nthree") == ["two\nth"]
+
+
+def test_files_are_read_by_offset(spark, tmp_path):
+    text = "".join(f"line {i} of the file with ü and 日本.\n" + ("\n" if i % 9 == 0 else "") for i in range(700))
+    (tmp_path / "a.txt").write_bytes(text.encode())
+    (tmp_path / "b.txt").write_bytes(b"short")
+    (tmp_path / "c.txt").write_bytes(b"")
+    files = spark.createDataFrame([(1, str(tmp_path / "a.txt"), len(text.encode())), (2, "file://" + str(tmp_path / "b.txt"), 5), (3, str(tmp_path / "c.txt"), 0)], "chunk_id long, path string, bytes long")
+    got = sorted(P.split_files(files, 400, 40, 512).collect(), key=lambda r: r.piece_no)
+    assert {r.chunk_id for r in got} == {1} and all(len(r.content) <= 400 for r in got)
+    assert "".join(r.content[40 if r.piece_no else 0 :] for r in got) == text
+    whole = spark.createDataFrame([(1, "x", 1, 1, text, "z")], CH)
+    same = P.split_oversized(whole, spark.createDataFrame([("x", 400, 40)], "chunk_type string, max_chars int, overlap_chars int"), 512)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, got))
