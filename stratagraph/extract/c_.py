@@ -79,7 +79,7 @@ def extract(path: str, text: str, language: str = "c") -> Emitter:
             return True
         first = line(begin + len(raw) - len(raw.lstrip()))
         last = line(body[1] if body else end)
-        source = text[begin : (body[1] + 1) if body else end + 1].strip()
+        source = text[begin + len(raw) - len(raw.lstrip()) : (body[1] + 1) if body else end + 1].strip()
         if body and (t := _TYPE_BODY.search(flat)) and "(" not in flat:
             if t[2]:
                 kind = t[1]
@@ -114,7 +114,7 @@ def extract(path: str, text: str, language: str = "c") -> Emitter:
         return not body
 
     pos, begin, n = 0, 0, len(clean)
-    token = re.compile(r"[{};]")
+    token, brace = re.compile(r"[{};]"), re.compile(r"[{}]")
     transparent = 0
     while pos < n and (m := token.search(clean, pos)):
         ch, at = m[0], m.start()
@@ -130,10 +130,10 @@ def extract(path: str, text: str, language: str = "c") -> Emitter:
                 begin = pos = at + 1
                 continue
             depth, end = 1, at + 1
-            for b in re.finditer(r"[{}]", clean[at + 1 :]):
+            for b in brace.finditer(clean, at + 1):
                 depth += 1 if b[0] == "{" else -1
                 if not depth:
-                    end = at + 1 + b.start()
+                    end = b.start()
                     break
             else:
                 end = n - 1

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import p4, q_cypher, q_graph, q_stream, q_tables
+from . import p4, q_cypher, q_graph, q_planted, q_stream, q_tables
 
-MODULES = [p4, q_graph, q_tables, q_stream, q_cypher]
+MODULES = [p4, q_graph, q_tables, q_stream, q_cypher, q_planted]
 
 
 def queries() -> dict:
