@@ -681,6 +681,8 @@ def _field(text: str, pos: int, quote: str, raw: bool) -> int:
         if text[pos + 1 : pos + 2] not in ("r", "s", "a"):
             return -1
         pos += 2
+        while pos < n and text[pos] in " \t":
+            pos += 1
         if text[pos : pos + 1] not in ("}", ":"):
             return -1
     if text[pos] == ":":

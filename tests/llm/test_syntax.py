@@ -40,7 +40,7 @@ def test_hand_written(language):
 
 PY = [
     "", "x = 1\n", "def f(a, /, b=1, *c, d: int = 2, **e) -> int:\n    '''d'''\n    return a\n", "match x:\n    case [1, 2]:\n        pass\n    case {'a': b} if b:\n        pass\n    case _:\n        pass\n", "match = 1\nmatch(x)\nprint(match)\n", "type X[T] = list[T]\n",
-    "rf'\\d{x}\\{y}'\n", "f'\\N{BULLET}{a}'\n", "f\'\'\'{a # c }\n}\'\'\'\n", "with (a, b as c, d):\n    pass\n", "with (a as b), c: pass\n", "with (a) as b: pass\n", "f'{a!r:>{w}} {{ {b[\"k\"]}'\n", "with (open(a) as b, open(c) as d):\n    pass\n", "with open(a) as b, c: pass\n", "try:\n    a\nexcept* E as e:\n    b\nelse:\n    c\nfinally:\n    d\n", "async def g():\n    async for x in y:\n        await z\n    return [i async for i in a if i]\n",
+    "rf'\\d{x}\\{y}'\n", "f'\\N{BULLET}{a}'\n", "f\'\'\'{a # c }\n}\'\'\'\n", "f'{3!s  }'\n", "f'{3!s x}'\n", "f'{a!r'\n", "with (a, b as c, d):\n    pass\n", "with (a as b), c: pass\n", "with (a) as b: pass\n", "f'{a!r:>{w}} {{ {b[\"k\"]}'\n", "with (open(a) as b, open(c) as d):\n    pass\n", "with open(a) as b, c: pass\n", "try:\n    a\nexcept* E as e:\n    b\nelse:\n    c\nfinally:\n    d\n", "async def g():\n    async for x in y:\n        await z\n    return [i async for i in a if i]\n",
     "lambda *a, k=1: (yield)\n", "a: int\nb: str = 'x'\na, *b = c = d\na += 1; del x[1:2, ::3], y\n", "@d.e(1)\nclass A[T](B, m=C):\n    x: int = 0\n", "if a := 1: pass\nelif b: pass\nelse: pass\nwhile x: break\nelse: pass\n", "x = a if b else c\nnot a in b is not c\n-x ** -y\n", "from . import a\nfrom ..b.c import (d as e, f,)\nimport g.h as i, j\n",
     "raise A from b\nassert x, 'm'\nglobal q\n", "x = [*a, *b]\ny = {**a, 'b': 1}\nz = {1, 2}\nf(*a, **b, c=1)\nprint(x for x in y)\n", "\\\n\nx = (1,\n  2)\n", "r'\\' b'x' rb'\\x'\n".replace("r'\\' ", ""), "0777\n", "x = 'a\n", "def f(:\n", "  x\n", "if a:\nb\n", "try:\n  x\n", "print 'x'\n", "x = $\n", "(]\n", "f'{a'\n", "f'{}'\n", "f'}'\n", "class\n", "x ==\n", "if a:\n\tx\n        y\n", "a = 0x\n", "1_000_\n", "x = 1 if 2\n", "<<<<<<< a\n", "1st\n", "é = 1\n", "def f():\n    x = '''a\n", "return\n", "x = {a: 1, **b, 'c': f'{d:{e}}'}\n", "print(f\"{x['a']}\")\n", "async with a as b: pass\n",
 ]
