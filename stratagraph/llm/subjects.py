@@ -7,9 +7,9 @@ documents; a document gets every subject that at least ``SHARE`` of its passages
   allows (residual inverse document frequency, taken in the language where the word is most frequent, at least
   ``BURST``). Phrases that every document may have, names and stop words are not bursty. Passages with equal content
   are one node.
-* Edges: each of ``BANDS`` bands puts a node into the bucket of its ``BAND_WORDS`` smallest word hashes; a node is
-  linked to the bucket's first node, never to all others, and only if the exact Jaccard similarity of the contents is
-  ``SIMILAR`` or more. So there are at most ``BANDS`` links a node, whatever the size of a bucket.
+* Edges: all pairs of nodes whose contents have an exact Jaccard similarity of ``SIMILAR`` or more. Nodes lie in
+  blocks of about ``BLOCK``; every pair of blocks is one task, which counts shared words by an inverted index of one of
+  them. So nothing is left out, and work grows with the square of the nodes; a task holds two blocks.
 * Propagation: human labels are the seeds. A node keeps its seed mass in every round and adds the distributions of
   its neighbours, by DataFrame joins, until fewer than ``SETTLED`` of the nodes change their subject, or for
   ``MAX_ROUNDS``. Documents whose annotators agree (at least two) are clamped: they come out with their labels.
@@ -30,18 +30,23 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import cut, trim_blank
 from . import leak
 
-BURST, BANDS, BAND_WORDS, SIMILAR = 0.22, 6, 2, 1 / 3
+BURST, SIMILAR = 0.22, 1 / 3
 LIFT, SHARE, SMOOTH = 0.3, 0.25, 1.0
 MAX_ROUNDS, SETTLED = 8, 0.002
 QUOTED = 0.4
-BROADCAST_WORDS = 100_000  # words of a few hundred bytes each
+BROADCAST_WORDS = 100_000  # words and one hash of each
+BROADCAST_NODES = 400_000  # one row of numbers a node; beyond that a shuffle join, with the same rows
+BLOCK = 16_384
+FLUSH_PAIRS = 1 << 21  # pairs that a task holds before it gives them out
 MAX_SUBJECTS = 64  # the state of a node has one column a subject
 NONE = "none"
 
@@ -148,33 +153,104 @@ def seeds(labels: DataFrame, names: list[str]) -> DataFrame:
     return by.withColumn("trusted", (F.min("votes").over(every) == F.col("heads")) & (F.col("heads") > 1)).select("doc_id", "subject", "weight", "trusted")
 
 
-def passage_graph(keys: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes: core; members: a, b -> core; links: src, dst in both directions) of distinct sentences ``keys`` (a, b, key)."""
+_PLACE = 33  # a node's number is its block, shifted by as many bits, and its place there (monotonically_increasing_id)
+_PACKED = "dst long, base long, srcs array<int>"
+
+
+def least_shared(most: int) -> np.ndarray:
+    """For every sum of two sizes up to ``most``, how many words two sets must share to be similar."""
+    both = np.arange(most + 1)
+    least = np.floor(SIMILAR * both / (1 + SIMILAR)).astype(np.int64)
+    return least + (least < SIMILAR * (both - least))
+
+
+def _rows(dst: np.ndarray, base: int, sizes: np.ndarray, srcs: np.ndarray) -> pa.RecordBatch:
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(srcs.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(dst.astype(np.int64)), pa.array(np.full(len(dst), base, np.int64)), lists], names=["dst", "base", "srcs"])
+
+
+def _similar(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All similar pairs between two blocks of nodes (or inside one), in both directions."""
+    i, j = (k.as_py() for k in key)
+    rows = pa.Table.from_batches(list(batches)).combine_chunks()
+    cores, lists = rows["core"].to_numpy(), rows["words"].combine_chunks()
+    sizes = lists.value_lengths().to_numpy().astype(np.int64)
+    _, words = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    place = cores & ((1 << _PLACE) - 1)
+    left, right = (np.flatnonzero(cores >> _PLACE == k) for k in (i, j))
+    # inverted index of the right block: its nodes by word
+    at = np.full(len(cores), -1)
+    at[right] = np.arange(len(right))
+    holder = at[np.repeat(np.arange(len(cores)), sizes)]
+    order = np.flatnonzero(holder >= 0)
+    order = order[np.argsort(words[order], kind="stable")]
+    nodes, bounds = holder[order], np.searchsorted(words[order], np.arange(words.max() + 2))
+
+    least, counter = least_shared(2 * int(sizes.max())), np.min_scalar_type(int(sizes.max()))
+    found: list[tuple[int, np.ndarray]] = []
+    held, size, need = 0, -1, None
+    for x in left[np.argsort(sizes[left], kind="stable")].tolist():
+        if sizes[x] != size:
+            size = sizes[x]
+            need = least[size + sizes[right]].astype(counter)
+        shared = np.zeros(len(right), counter)
+        for w in words[starts[x] : starts[x + 1]].tolist():
+            shared[nodes[bounds[w] : bounds[w + 1]]] += 1
+        near = np.flatnonzero(shared >= need)
+        if i == j:
+            near = near[near > at[x]]
+        if len(near):
+            found.append((x, near))
+            held += len(near)
+        if held >= FLUSH_PAIRS:
+            yield from _both_ways(found, i, j, cores, place, right)
+            found, held = [], 0
+    yield from _both_ways(found, i, j, cores, place, right)
+
+
+def _both_ways(found: list[tuple[int, np.ndarray]], i: int, j: int, cores: np.ndarray, place: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not found:
+        return
+    xs, n = np.array([x for x, _ in found]), np.array([len(near) for _, near in found])
+    ys = np.concatenate([near for _, near in found])
+    yield _rows(cores[xs], j << _PLACE, n, place[right[ys]])
+    order = np.argsort(ys, kind="stable")
+    back, m = np.unique(ys, return_counts=True)
+    yield _rows(cores[right[back]], i << _PLACE, m, place[np.repeat(xs, n)[order]])
+
+
+def packed_graph(keys: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes: core; members: a, b -> core; packed: dst, base, srcs) of distinct sentences ``keys`` (a, b, key): dst is linked to every base + src."""
     word = F.explode(F.split("key", " ")).alias("word")
-    marks = [F.xxhash64("word", F.lit(i)).alias(f"h{i}") for i in range(BANDS * BAND_WORDS)]
-    content = content.select("word", F.xxhash64("word").alias("w"), *marks)
+    content = content.select("word", F.xxhash64("word").alias("w"), F.xxhash64("word", F.lit(0)).alias("h"))
     if content.count() <= BROADCAST_WORDS:  # beyond that a shuffle join, with the same rows
         content = F.broadcast(content)
-    # the content of a sentence: two independent hashes of the set, and the smallest word under each hash
+    # the content of a sentence: two independent hashes of the set
     held = keys.select("a", "b", word).join(content, "word")
-    own = held.groupBy("a", "b").agg(F.bit_xor("w").alias("x"), F.bit_xor("h0").alias("y"), F.count("*").alias("size"), *(F.min(f"h{i}").alias(f"h{i}") for i in range(len(marks))))
-    own = cut(own)
-    cores = own.groupBy("x", "y", "size").agg(F.min(F.struct("a", "b")).alias("one"), *(F.min(f"h{i}").alias(f"h{i}") for i in range(len(marks))))
-    cores = cut(cores.withColumn("core", F.monotonically_increasing_id()))  # fixed by being written
+    own = cut(held.groupBy("a", "b").agg(F.bit_xor("w").alias("x"), F.bit_xor("h").alias("y"), F.count("*").alias("size")))
+    cores = cut(own.groupBy("x", "y", "size").agg(F.min(F.struct("a", "b")).alias("one")))
+    blocks = max(-(-cores.count() // BLOCK), 1)
+    cores = cut(cores.repartition(blocks).withColumn("core", F.monotonically_increasing_id()))  # fixed by being written
     members = own.select("a", "b", "x", "y", "size").join(cores.select("x", "y", "size", "core"), ["x", "y", "size"]).select("a", "b", "core")
 
-    wide = cores.where("size >= 2")
-    sets = wide.select("core", F.col("one.a").alias("a"), F.col("one.b").alias("b")).join(keys.select("a", "b", "key"), ["a", "b"])
+    sets = cores.select("core", F.col("one.a").alias("a"), F.col("one.b").alias("b")).join(keys.select("a", "b", "key"), ["a", "b"])
     sets = sets.select("core", word).join(content, "word").groupBy("core").agg(F.collect_list("w").alias("words"))  # the words of one sentence
-    band = lambda i: F.xxhash64(F.lit(i), *(f"h{i * BAND_WORDS + k}" for k in range(BAND_WORDS)))
-    placed = wide.select("core", F.explode(F.array(*(band(i) for i in range(BANDS)))).alias("bucket"))
-    first = placed.groupBy("bucket").agg(F.min("core").alias("rep"))
-    pairs = placed.join(first, "bucket").where("core <> rep").select("core", "rep").distinct()
-    both = pairs.join(sets, "core").join(sets.select(F.col("core").alias("rep"), F.col("words").alias("other")), "rep")
-    shared = F.size(F.array_intersect("words", "other"))
-    close = both.where(shared >= SIMILAR * (F.size("words") + F.size("other") - shared))
-    ends = F.explode(F.array(F.struct(F.col("core").alias("src"), F.col("rep").alias("dst")), F.struct(F.col("rep").alias("src"), F.col("core").alias("dst"))))
-    return cores.select("core"), members, cut(close.select(ends.alias("e")).select("e.src", "e.dst"))
+    block, other = F.shiftright("core", _PLACE), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other")
+    met = sets.select("core", "words", other).select("core", "words", F.least(block, "other").alias("i"), F.greatest(block, "other").alias("j"))
+    return cores.select("core"), members, met.groupBy("i", "j").applyInArrow(_similar, _PACKED)
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """(src, dst) of every link, in both directions."""
+    return packed.select("dst", "base", F.explode("srcs").alias("place")).select((F.col("base") + F.col("place")).alias("src"), "dst")
+
+
+def passage_graph(keys: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes: core; members: a, b -> core; links: src, dst in both directions) of distinct sentences ``keys`` (a, b, key)."""
+    nodes, members, packed = packed_graph(keys, content)
+    return nodes, members, unpacked(packed)
 
 
 def spread(nodes: DataFrame, links: DataFrame, mass: DataFrame, names: list[str]) -> DataFrame:
@@ -201,9 +277,10 @@ def spread(nodes: DataFrame, links: DataFrame, mass: DataFrame, names: list[str]
     state = nodes.join(y, "core", "left").na.fill(0.0, ys)
     state = cut(settle(state, [F.col(c) for c in ys], *ys))
     n = state.count()
+    small = F.broadcast if n <= BROADCAST_NODES else lambda df: df
     for _ in range(MAX_ROUNDS):
         told = state.where(" + ".join(f"p{i}" for i in k) + " > 0").select(F.col("core").alias("src"), *(f"p{i}" for i in k))
-        heard = links.join(told, "src").groupBy(F.col("dst").alias("core")).agg(*(F.sum(f"p{i}").alias(f"g{i}") for i in k))
+        heard = links.join(small(told), "src").groupBy(F.col("dst").alias("core")).agg(*(F.sum(f"p{i}").alias(f"g{i}") for i in k))
         after = state.select("core", *ys, F.col("best").alias("was")).join(heard, "core", "left").na.fill(0.0, [f"g{i}" for i in k])
         state = cut(settle(after, [F.col(f"y{i}") + F.col(f"g{i}") for i in k], *ys, "was"))
         if state.where("best <> was").count() <= SETTLED * n:
@@ -220,11 +297,13 @@ def propagate(split: DataFrame, labels: DataFrame, names: list[str]) -> DataFram
     ids = docs.select("doc_id", F.transform("keys", known).alias("ids"))
     keys = cut(docs.select(F.explode("keys").alias("key")).distinct().select(known(F.col("key")).alias("k"), "key").select("k.a", "k.b", "key"))
     content = cut(bursty_words(split.where("doc_id is null")))
-    nodes, members, links = passage_graph(keys, content)
+    nodes, members, packed = packed_graph(keys, content)
+    packed = packed.persist()  # read in every round
     # a sentence that very many documents have is a large group of this join; adaptive execution splits it
     placed = cut(ids.select("doc_id", F.explode("ids").alias("k")).select("doc_id", "k.a", "k.b").join(members, ["a", "b"]).groupBy("doc_id", "core").agg(F.count("*").alias("n")))
     mass = placed.join(seeded, "doc_id").groupBy("core", "subject").agg(F.sum(F.col("n") * F.col("weight")).alias("mass"))
-    about = spread(nodes, links, mass, names)
+    about = spread(nodes, unpacked(packed), mass, names)  # its rows are written when it comes back
+    packed.unpersist()
     counted = placed.join(about, "core").groupBy("doc_id", "subject").agg(F.sum("n").alias("n"))
     total = docs.groupBy("doc_id").agg(F.sum(F.size("keys")).alias("total"))
     return counted.join(total, "doc_id")
