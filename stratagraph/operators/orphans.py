@@ -7,10 +7,12 @@ Keyed state, maintained incrementally over consecutive slices of time:
 
 A slice brings changes (a record arrives, +1, or is deleted, -1) and references. New references probe the index as it
 is at their own moment; a record that arrives resolves the references waiting for its uid, a deletion reopens them,
-and the end of each slice gives a snapshot of the references pending then.
+and the end of each slice gives a snapshot of the references pending then. Slices are calendar months unless their number
+is given; a month in which nothing happens would repeat the snapshot before it and is no slice.
 
-The state can be saved and loaded, so a run goes on where the last one ended; :func:`transitions` says which uids were
-resolved or reopened by a slice, with the number of references that wait for them.
+The state can be saved and loaded, so a run goes on where the last one ended (:func:`go_on`). Inside a run the state is
+carried from slice to slice by running sums over what changes, key by key, so a slice costs what it changes and not the
+whole state. A run also says which uids were resolved or reopened by a slice, with the references that wait for them.
 
 A hot uid never lies in one task: the rows of a uid with more than ``HOT_ROWS`` references, a fixed number, are split
 into periods of an hour; the net changes of the periods are summed first, and a running sum over them gives the state
@@ -122,39 +124,64 @@ def kind_of(uid: Column) -> Column:
     return F.substring_index(uid, "|", 1)
 
 
-def advance(state: OrphanState, moves: DataFrame, refs: DataFrame, last: bool = False, **how) -> tuple[OrphanState, DataFrame, DataFrame]:
-    """One slice: (state after it, references that were orphans when made, snapshot of those pending at its end).
+def timeline(state: OrphanState, moves: DataFrame, refs: DataFrame, bounds: list[tuple]) -> DataFrame:
+    """(uid, predicate, slice, before, refs, open, turn): references made before a slice and up to its end, whether the uid is live at its
+    end, and how that changed (1: resolved, -1: reopened), for the slices in which any of it changes; the given state is slice -1."""
+    later = [F.col("at") >= F.lit(lo) for lo, _ in bounds[1:]]
+    place = F.coalesce(sum((c.cast("int") for c in later), F.lit(0)), F.lit(0)).alias("slice")
+    first = F.lit(-1).alias("slice")
+    nets = state.live.select("uid", first, F.col("open").alias("net")).unionByName(moves.select("uid", place, F.col("delta").cast("long").alias("net")))
+    nets = nets.groupBy("uid", "slice").agg(F.sum("net").alias("net"))
+    of_uid = Window.partitionBy("uid").orderBy("slice")
+    nets = nets.withColumn("open", (F.sum("net").over(of_uid.rowsBetween(Window.unboundedPreceding, Window.currentRow)) > 0).cast("int"))
+    turns = nets.withColumn("turn", F.col("open") - F.coalesce(F.lag("open").over(of_uid), F.lit(0))).where("turn <> 0").select("uid", "slice", "turn")
 
-    The state of the last slice stays a plan; that of the others is written, so the next one starts from it.
-    """
-    missing = probe(state.live, moves, refs, **how)
-    live = state.live.unionByName(moves.groupBy("uid").agg(F.sum("delta").alias("open"))).groupBy("uid").agg(F.sum("open").alias("open")).where("open <> 0")
-    waiting = state.waiting.unionByName(refs.groupBy("uid", "predicate").agg(F.count("*").alias("refs"))).groupBy("uid", "predicate").agg(F.sum("refs").alias("refs"))
-    after = OrphanState(live, waiting) if last else OrphanState(cut(live), cut(waiting))
-    pending = after.waiting.join(after.live.where("open > 0"), "uid", "left_anti")
-    snapshot = pending.groupBy("predicate", kind_of(F.col("uid")).alias("kind")).agg(F.sum("refs").alias("pending"))
-    return after, missing, snapshot
+    made = state.waiting.select("uid", "predicate", first, "refs").unionByName(refs.select("uid", "predicate", place, F.lit(1).cast("long").alias("refs")))
+    made = made.groupBy("uid", "predicate", "slice").agg(F.sum("refs").alias("refs"))
+    turned = made.select("uid", "predicate").distinct().join(turns, "uid").withColumn("refs", F.lit(0).cast("long"))
+    lines = made.withColumn("turn", F.lit(0)).unionByName(turned).groupBy("uid", "predicate", "slice").agg(F.sum("refs").alias("new"), F.sum("turn").alias("turn"))
+    upto = Window.partitionBy("uid", "predicate").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("refs", F.sum("new").over(upto)).withColumn("open", F.sum("turn").over(upto))
+    return lines.select("uid", "predicate", "slice", (F.col("refs") - F.col("new")).alias("before"), "refs", "open", "turn")
+
+
+def pending(lines: DataFrame, n: int) -> DataFrame:
+    """(predicate, kind, pending, slice): the references that wait at the end of each of n slices."""
+    waits = F.when(F.col("open") > 0, 0).otherwise(F.col("refs"))
+    last = Window.partitionBy("uid", "predicate").orderBy("slice")
+    moved = lines.withColumn("waits", waits).withColumn("change", F.col("waits") - F.coalesce(F.lag("waits").over(last), F.lit(0)))
+    moved = moved.groupBy("predicate", kind_of(F.col("uid")).alias("kind"), F.greatest("slice", F.lit(0)).alias("slice")).agg(F.sum("change").alias("change"))
+    every = moved.select("predicate", "kind", "change", F.explode(F.sequence("slice", F.lit(n - 1))).alias("slice"))
+    return every.groupBy("predicate", "kind", "slice").agg(F.sum("change").alias("pending")).where("pending > 0").select("predicate", "kind", "pending", "slice")
 
 
-def transitions(before: OrphanState, after: OrphanState) -> DataFrame:
-    """(uid, what, refs): uids that a slice resolved or reopened, with the references that had been made before it."""
-    had = before.live.where("open > 0").select("uid", F.lit(1).alias("had"))
-    has = after.live.where("open > 0").select("uid", F.lit(1).alias("has"))
-    refs = before.waiting.groupBy("uid").agg(F.sum("refs").alias("refs"))
-    changed = had.join(has, "uid", "full_outer").where("had is null or has is null")
-    return refs.join(changed, "uid").select("uid", F.when(F.col("has").isNotNull(), "resolved").otherwise("reopened").alias("what"), "refs")
+def transitions(lines: DataFrame) -> DataFrame:
+    """(uid, what, refs, slice): uids that a slice resolved or reopened, with the references that had been made before it."""
+    turned = lines.where("slice >= 0 and turn <> 0 and before > 0").groupBy("uid", "slice", "turn").agg(F.sum("before").alias("refs"))
+    return turned.select("uid", F.when(F.col("turn") > 0, "resolved").otherwise("reopened").alias("what"), "refs", "slice")
 
 
 def go_on(state: OrphanState, moves: DataFrame, refs: DataFrame, bounds: list[tuple], start: bool = True) -> tuple[OrphanState, DataFrame, list[DataFrame], DataFrame]:
     """(state, orphans, snapshots, transitions) after further slices. start: references without a moment are taken with the first slice."""
-    found, snapshots, moved = [], [], []
-    for i, (lo, hi) in enumerate(bounds):
-        before = state
-        state, missing, snapshot = advance(state, _between(moves, lo, hi, False), _between(refs, lo, hi, start and i == 0), last=i == len(bounds) - 1)
-        found.append(missing)
-        snapshots.append(snapshot.withColumn("slice", F.lit(i)))
-        moved.append(transitions(before, state).withColumn("slice", F.lit(i)))
-    return state, union_all(found), snapshots, union_all(moved)
+    lo, hi = bounds[0][0], bounds[-1][1]
+    moves, refs = _between(moves, lo, hi, False), _between(refs, lo, hi, start)
+    live = state.live.unionByName(moves.groupBy("uid").agg(F.sum("delta").alias("open"))).groupBy("uid").agg(F.sum("open").alias("open")).where("open <> 0")
+    waiting = state.waiting.unionByName(refs.groupBy("uid", "predicate").agg(F.count("*").alias("refs"))).groupBy("uid", "predicate").agg(F.sum("refs").alias("refs"))
+    lines = timeline(state, moves, refs, bounds)
+    at_end = pending(lines, len(bounds))
+    return OrphanState(live, waiting), probe(state.live, moves, refs), [at_end.where(F.col("slice") == i) for i in range(len(bounds))], transitions(lines)
+
+
+def months(moves: DataFrame, refs: DataFrame) -> list[str]:
+    """The calendar months in which a reference is made or a record arrives or is deleted."""
+    month = F.date_format("at", "yyyy-MM").alias("month")
+    return sorted(r.month for r in moves.select(month).union(refs.select(month)).where("month is not null").distinct().collect())  # twelve a year
+
+
+def by_month(names: list[str]) -> list[tuple]:
+    """Bounds of one slice a month; the first and the last are open."""
+    edges = [None, *(F.lit(f"{m}-01").cast("timestamp") for m in names[1:]), None]
+    return list(zip(edges, edges[1:]))
 
 
 def slices(moves: DataFrame, refs: DataFrame, n: int) -> list[tuple]:
@@ -177,14 +204,25 @@ def _between(df: DataFrame, lo, hi, nulls: bool) -> DataFrame:
     return df.where(keep | (at.isNull() if nulls else F.lit(False)))
 
 
-def orphans(relations: DataFrame, entities: list[DataFrame], chunks: DataFrame, n_slices: int = 2) -> tuple[DataFrame, list[DataFrame]]:
-    """(all orphan references, pending counts at the end of every slice)."""
+def orphans(relations: DataFrame, entities: list[DataFrame], chunks: DataFrame, n_slices: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """(all orphan references, pending counts at the end of every slice): a slice a calendar month, or n equal slices."""
     moves = cut(changes(entities, chunks))
     refs = cut(references(relations))
-    _, found, snapshots, _ = go_on(OrphanState.empty(relations.sparkSession), moves, refs, slices(moves, refs, n_slices))
+    bounds = slices(moves, refs, n_slices) if n_slices else by_month(months(moves, refs))
+    _, found, snapshots, _ = go_on(OrphanState.empty(relations.sparkSession), moves, refs, bounds)
     return found, snapshots
 
 
+def pending_by_month(relations: DataFrame, entities: list[DataFrame], chunks: DataFrame) -> DataFrame:
+    """(month, predicate, kind, pending): the snapshots of all months; none where nothing has a moment."""
+    moves = cut(changes(entities, chunks))
+    refs = cut(references(relations))
+    names = months(moves, refs)
+    lines = timeline(OrphanState.empty(relations.sparkSession), moves, refs, by_month(names))
+    month = F.get(F.array(*map(F.lit, names)).cast("array<string>"), F.col("slice"))
+    return pending(lines, max(len(names), 1)).select(month.alias("month"), "predicate", "kind", "pending").where("month is not null")
+
+
 def orphan_counts(found: DataFrame) -> DataFrame:
     """Orphans per predicate, kind of record referred to, and month of recording."""
     month = F.date_format("at", "yyyy-MM")

@@ -117,3 +117,27 @@ def test_two_runs_with_a_saved_state_give_what_one_gives(spark, tmp_path):
     live = lambda st: {r.uid for r in st.live.where("open > 0").collect()}
     waits = {r.uid for r in loaded.waiting.collect()}
     assert {(r.uid, r.what) for r in moved.collect()} == {(u, "resolved") for u in (live(end) - live(loaded)) & waits} | {(u, "reopened") for u in (live(loaded) - live(end)) & waits}
+
+
+def test_every_month_has_a_snapshot(spark):
+    month = lambda m: datetime(2025, m, 10)
+    ents = [("Function", "f", "x", month(3), month(6)), ("Function", "f", "y", month(1), month(9))]
+    rels = [(1, "Function|f|x", "P", "Function|f|y", month(1), ""), (2, "Function|f|x", "P", None, month(4), ""), (3, "Function|f|z", "Q", None, None, "")]
+    tables = spark.createDataFrame(rels, REL), [spark.createDataFrame(ents, ENT)], spark.createDataFrame([], CH)
+    got = {(r.month, r.predicate): r.pending for r in O.pending_by_month(*tables).collect()}
+    assert got == {("2025-01", "P"): 1, ("2025-06", "P"): 2, ("2025-09", "P"): 3} | {(f"2025-0{m}", "Q"): 1 for m in (1, 3, 4, 6, 9)}
+    snaps = O.orphans(*tables)[1]
+    assert [{r.predicate: r.pending for r in s.collect()} for s in snaps] == [{"P": 1, "Q": 1}, {"Q": 1}, {"Q": 1}, {"P": 2, "Q": 1}, {"P": 3, "Q": 1}]
+    assert O.pending_by_month(tables[0].limit(0), [tables[1][0].limit(0)], tables[2]).count() == 0
+
+
+def test_snapshots_against_brute_force(spark):
+    ents, chunks, rels, lives = world(11)
+    tables = spark.createDataFrame(rels, REL), [spark.createDataFrame(ents, ENT)], spark.createDataFrame(chunks, CH)
+    moves, refs = O.changes(*tables[1:]), O.references(tables[0])
+    edges = [T0 + timedelta(hours=h) for h in range(30, 200, 30)]
+    _, _, snaps, _ = O.go_on(O.OrphanState.empty(spark), moves, refs, list(zip([None, *edges], [*edges, None])))
+    for end, snap in zip([*edges, datetime(2030, 1, 1)], snaps):
+        live = {u for u, a, z in lives if a < end and (z is None or z >= end)}
+        want = sum(1 for _, s, _, o, at, _ in set(rels) if at is None or at < end for v in (s, o) if v and (w := v.strip(" \t").replace("\\", "/")) and not w.startswith("external:") and w not in live)
+        assert sum(r.pending for r in snap.collect()) == want
